@@ -1,13 +1,43 @@
-"""Queries of the training-data operators, with DuckDB SQL where SQL can express them."""
+"""Queries of the training-data operators, with DuckDB SQL where SQL can express them.
+
+Queries without SQL are held against brute force, exact round trips or held-out labels in
+tests/llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contractlog.llm import exact_dedup, ngram_join
+from contractlog.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality, token_rollup, toxicity, vector_join
 from contractlog.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(table(spark, sf_dir, "conversations").unionByName(chat_format.probe_rows(spark)))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.query(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -20,16 +50,38 @@ FROM t JOIN g USING (norm)
 """
 
 
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.links(table(spark, sf_dir, "embeddings"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.occurrences(docs, mixing.plan(docs))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": op1_chat_format,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op3_quality": op3_quality,
+        "op4_token_rollup": op4_token_rollup,
+        "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_vector_join": op8_vector_join,
+        "op9_mixing": op9_mixing,
         "op10_ngram_join": op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {
+        "op1_chat_format": chat_format.DIGESTS_SQL,
+        "op4_token_rollup": token_rollup.QUERY_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op9_mixing": mixing.OCCURRENCES_SQL,
+    }

@@ -8,6 +8,7 @@ only the tasks it ran.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,11 +65,13 @@ class Scratch:
         df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self, name: str) -> None:
-        delete(self.spark, f"{self.root}/{name}")
+    def forget(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
 
     def tidy(self) -> None:
-        """Let Spark drop the shuffle files of jobs that have ended."""
+        """Let Spark drop the shuffle files of jobs that have ended: it does so when their plans are collected."""
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
 

@@ -76,8 +76,8 @@ class DigestIndex:
         into = f"level{level + 1}-{len(self.runs)}"
         self._write(self._merged(names), into)
         self.levels[level + 1].append(into)
+        self.scratch.forget(*names)
         for name in names:
-            self.scratch.forget(name)
             del self.runs[name]
         self.levels[level] = []
         if len(self.levels[level + 1]) >= FAN_IN:

@@ -13,7 +13,7 @@ Detection", 2008):
 2. **postings**: of each set only its prefix, by that order. Sizes x need the first
    ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the first
    ``x - ceil(t x) + 1`` against shorter ones.
-3. **lists**: n-grams in the prefixes of two or more classes. In each round every class of
+3. **lists**: n-grams in the prefixes of two or more documents. In each round every class of
    a list is paired with one *anchor* of the list, and what has been verified becomes
    links; classes that are connected already need no further pair. Thousands of near
    copies thus cost a pair each and not a pair for every two of them.
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ CHUNK = 1 << 14
 #: Rounds of anchors at most before the exact rest; pairs of the rest, as a multiple of the lists' length, that need no further round.
 ROUNDS = 4
 EASY_REST = 2
-#: Distinct words whose hashes one task remembers at once.
-KNOWN_WORDS = 1 << 19
+#: Text that one task splits into words at once.
+SLICE_BYTES = 1 << 22
 #: Rows of one Arrow batch that a task hands back.
 BATCH_ROWS = 1 << 17
 SUFFIX_PIVOTS = 16
@@ -69,42 +70,59 @@ class Shingler:
     """Sorted distinct n-gram hashes of texts; A-Z count as a-z, words are [^\\x20\\x09-\\x0D]+."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.known = n, {}
+        self.n = n
         self.factors = [np.uint64(pow(_BASE, k + 1, 1 << 64) | 1) for k in range(n)]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        try:
-            w = np.array([known[x] for x in words], np.uint64)
-        except KeyError:
-            for x in words:
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x)
-            w = np.array([known[x] for x in words], np.uint64)
-        count = len(w) - self.n + 1
-        if count < 1:
-            h = np.uint64(len(w))
-            with np.errstate(over="ignore"):
-                for k, x in enumerate(w):
-                    h = _mixed(np.array([h ^ x], np.uint64) * self.factors[k] + np.uint64(k + 1))[0]
-            return np.array([h], np.uint64)
-        h = np.zeros(count, np.uint64)
-        for k in range(self.n):
-            h += w[k : k + count] * self.factors[k]
-        return np.unique(_mixed(h))
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, words before each text)"""
+        texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))  # a copy from 0 on: ascii_lower misreads slices that were cast
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat, ends = split.flatten(), np.asarray(split.offsets).astype(np.int64)
+        ends -= ends[0]
+        some = np.asarray(pc.greater(pc.binary_length(flat), 0))  # white space at an end leaves an empty part
+        if not some.all():
+            ends, flat = np.concatenate([[0], np.cumsum(some)])[ends], flat.filter(pa.array(some))
+        coded = flat.dictionary_encode()
+        known = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+        return known[np.asarray(coded.indices)] if len(flat) else np.empty(0, np.uint64), ends
+
+    def __call__(self, texts: pa.Array):
+        """The set of each text."""
+        w, ends = self._words(texts)
+        n = self.n
+        h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+        for k in range(n):
+            h += w[k : k + len(h)] * self.factors[k]
+        h = _mixed(h)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if b - a >= n:
+                s = np.sort(h[a : b - n + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+            elif b > a:
+                x = np.array([b - a], np.uint64)
+                for k in range(b - a):
+                    x = _mixed((x ^ w[a + k]) * self.factors[k] + np.uint64(k + 1))
+                yield x
+            else:
+                yield np.empty(0, np.uint64)
+
+
+def _slices(batches):
+    """Batches of about SLICE_BYTES of text, by whole rows."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES)) + 1
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def _texts(batches, n: int):
     """(id, set) of every row; ids may be null."""
     shingle = Shingler(n)
-    for batch in batches:
-        for i, text in zip(batch.column(0), batch.column(1)):
-            yield i.as_py(), shingle(text.as_py())
+    for batch in _slices(batches):
+        yield from zip(batch.column(0).to_pylist(), shingle(batch.column(1)))
 
 
 PROFILE = "id long, n long, digest binary, chunk int, counts binary"
@@ -171,7 +189,7 @@ def _ceil(a, b: int):
     return -(-a // b)
 
 
-POSTINGS = "h long, id long, dg long, n int, pos int"
+POSTINGS = "h long, id long, n int, pos int"
 
 
 def _postings(n: int, percent: int, order):
@@ -181,7 +199,7 @@ def _postings(n: int, percent: int, order):
 
         def flush():
             cols = [np.concatenate(x) for x in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "dg", "n", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "n", "pos"])
 
         for i, s in _texts(batches, n):
             if i is None or not len(s):
@@ -189,8 +207,7 @@ def _postings(n: int, percent: int, order):
             size = len(s)
             prefix = size - _ceil(percent * size, 100) + 1
             rare = s[np.argsort(freq[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:prefix]]
-            dg = np.int64(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-            out.append((rare.view(np.int64), np.full(prefix, i, np.int64), np.full(prefix, dg), np.full(prefix, size, np.int32), np.arange(1, prefix + 1, dtype=np.int32)))
+            out.append((rare.view(np.int64), np.full(prefix, i, np.int64), np.full(prefix, size, np.int32), np.arange(1, prefix + 1, dtype=np.int32)))
             held += prefix
             if held >= BATCH_ROWS:
                 yield flush()
@@ -257,12 +274,15 @@ class NgramJoin:
         least = profile.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
         self.reps = write(least, "classes")
         lists = self._lists(frequency_classes(seen))
+        self.scratch.tidy()
         links = None
         for k in range(ROUNDS + 1):
             pairs = self._anchored(lists, k) if k < ROUNDS else self._rest(lists)
             found = write(self._verified(pairs, k), f"links-{k}")
+            self.scratch.forget(f"pairs-{k}", f"ids-{k}", f"sets-{k}")
             links = found if links is None else links.unionByName(found)
             self.found = components(links, self.scratch, f"cc-{k}")
+            self.scratch.tidy()
             if k == ROUNDS:
                 break
             lists, left = self._mixed(lists, k)
@@ -277,15 +297,14 @@ class NgramJoin:
     def _lists(self, freq: np.ndarray) -> DataFrame:
         """Postings of the n-grams that stand in the prefixes of two classes or more."""
         order = self.docs.sparkSession.sparkContext.broadcast(freq)
-        postings = self.docs.mapInArrow(_postings(self.n, self.percent, order), POSTINGS)
-        shared = postings.groupBy("h").agg(F.min("dg").alias("p"), F.max("dg").alias("q")).where("p <> q").select("h")
-        found = self.scratch.write(postings.join(shared, "h").drop("dg"), "postings")
-        self.scratch.tidy()
+        postings = self.scratch.write(self.docs.mapInArrow(_postings(self.n, self.percent, order), POSTINGS), "postings")
+        shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+        found = self.scratch.write(postings.join(shared, "h"), "shared")
         reps = self.reps.select(F.col("rep").alias("id"))
         p = self.percent
         listed = found.join(reps, "id", "left_semi").withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
         listed = self.scratch.write(listed.withColumn("comp", F.col("id")), "lists")
-        self.scratch.forget("postings")
+        self.scratch.forget("postings", "shared")
         self.listed = listed.count()
         return listed
 
@@ -339,7 +358,7 @@ class NgramJoin:
         sets = near.select("id", "text").mapInArrow(_sets(self.n), "id long, s binary")
         sets = self.scratch.write(sets.join(ids, "id", "left_semi"), f"sets-{k}")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
-        return both.select("a", "b", "s1", "s2").mapInArrow(_verify(self.percent), "a long, b long").distinct()
+        return both.select("a", "b", "s1", "s2").mapInArrow(_verify(self.percent), "a long, b long")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,12 +87,20 @@ def test_join_equals_brute_force(spark, seed):
         texts += near_copies(rng, base, rng.randrange(1, 6), rng.choice([0, 0.01, 0.03, 0.06]))
         texts.append(" ".join(base[: len(base) // 2] + passage))
     texts += near_copies(rng, [word() for _ in range(80)], 60, 0.015) + [" ".join(passage + [word()]) for _ in range(20)]
-    texts += [None, "", "  \t ", "one", "ONE", "one two", "a b c d", "A b\tc d"]
+    texts += [None, "", "  \t ", "one", "ONE", "one two", "a b c d", "A b\tc d", "p\x0bq\x0cr\x1cs t\u00a0u v\x85w", "P q R\x1cs\n\r t\u00a0u v\x85w ", "ÀB ÇD É F G H", "àb çd é f g h"]
     rng.shuffle(texts)
     texts = dict(enumerate(texts, 7))
     assert joined(spark, texts) == brute_join(texts)
 
 
+def test_shingles_of_slices(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 3000)
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_batches(max_chunksize=90)
+    got = {i: len(s) for i, s in ngram_join._texts((b.slice(3) for b in docs), 5)}
+    want = {i: t for b in docs for i, t in zip(*(c.to_pylist()[3:] for c in b.columns))}
+    assert got == {i: len(s) for i, s in brute_sets(want).items()}
+
+
 def test_every_round_reaches_the_rest(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     rng = random.Random(9)
