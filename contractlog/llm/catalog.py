@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from contractlog.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality, token_rollup, toxicity, vector_join
 from contractlog.llm.common import table
 
@@ -75,11 +76,13 @@ def queries() -> dict:
         "op8_vector_join": op8_vector_join,
         "op9_mixing": op9_mixing,
         "op10_ngram_join": op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {
         "op1_chat_format": chat_format.DIGESTS_SQL,
         "op4_token_rollup": token_rollup.QUERY_SQL,
         "op7_exact_dedup": OP7_SQL,

@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is lower-cased and cut into words at white space and sentence marks. The character
-n-grams of a word (3 to 6 code points, with the word's edges) are hashed into BUCKETS
-embeddings of DIM numbers. A bag is a window of WINDOW words; windows overlap by half and
+n-grams of a word (3 to 5 code points, with the word's edges) are hashed into BUCKETS
+embeddings of DIM numbers. A bag is a window of WINDOW words; windows overlap and
 cover the whole text. A bag's vector is the average of its n-grams' embeddings, and a linear
 softmax gives its two classes; embeddings and softmax are trained together by Adagrad. So a
 misspelling that no text of the sample has still shares most of its n-grams' embeddings.
@@ -30,10 +30,12 @@ from contractlog.llm.sampling import class_shares, held_out, labelled_sample
 #: Labelled texts of each label that the fit reads at most.
 SAMPLE = 1200
 BUCKETS, DIM = 1 << 15, 8
-LENGTHS = (3, 4, 5, 6)
-WINDOW, STEP = 6, 3
+LENGTHS = (3, 4, 5)
+WINDOW, STEP = 2, 1
 ROUNDS, STEPS, BAGS = 3, 160, 512
 RATE = 0.4
+#: Share of a bag's n-grams that a training step sees: what a word is must not hang on few of them.
+SEEN = 0.5
 THRESHOLD = 0.3
 #: Characters that are scored at once.
 SLICE_CHARS = 1 << 20
@@ -163,6 +165,10 @@ def fit(texts: list[str], labels: list[int], shares: dict[int, float], seed: int
             size = b[rows] - a[rows]
             flat = np.repeat(a[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             ids, of = bucket[flat], np.repeat(np.arange(len(rows)), size)
+            seen = rng.random(len(ids)) < SEEN
+            seen[np.cumsum(size) - 1] = True
+            ids, of = ids[seen], of[seen]
+            size = np.bincount(of, minlength=len(rows))
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
             bag = np.add.reduceat(emb[ids], starts, 0) / size[:, None]
             logit = bag @ soft + bias
