@@ -23,6 +23,15 @@ NONCE = "␠end"
 BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*"
 
 
+def settled(c: Column) -> Column:
+    """The column, computed once where it stands: filters above aren't copied below it.
+
+    Contract expressions are large; copied into every filter and projection that needs a part
+    of them, they would be planned and evaluated many times over.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def strict(text: Column) -> Column:
     """The text's variant, or NULL unless it is one JSON value and nothing else."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{NONCE}"]')))
@@ -56,7 +65,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     shown = F.make_valid_utf8(F.col("raw"))
     text = F.regexp_replace(shown, f"^{BLANKS}|{BLANKS}\\z", "")
-    rows = lines.withColumn("text", text).where((F.col("text") != "") | F.col("torn")).withColumn("rec", F.when(~F.col("torn"), strict(F.col("text"))))
+    rows = lines.withColumn("text", text).where((F.col("text") != "") | F.col("torn")).withColumn("rec", settled(F.when(~F.col("torn"), strict(F.col("text")))))
     good = rows.where("rec is not null or torn").withColumn("parse_reason", F.when(F.col("torn"), F.lit(TORN)))
     rest = rows.where("rec is null and not torn").drop("rec")
     schema = T.StructType([*rest.schema.fields, T.StructField("told", T.StringType()), T.StructField("again", T.StringType())])
@@ -89,20 +98,26 @@ def classify(parsed: DataFrame, contract: Contract) -> DataFrame:
     raw = checks.part(F.col("rec"), contract.key)
     has_key = (checks.kind_of(F.col("rec")) == "OBJECT") & raw.isNotNull()
     tomb = has_key & truthy(checks.part(F.col("rec"), "_deleted"))
-    found = parsed.withColumn("tombstone", F.coalesce(tomb, F.lit(False)))
-    found = found.withColumn("_issues", F.when(F.col("parse_reason").isNull() & has_key & ~F.col("tombstone"), checks.issues(contract, F.col("rec"))))
+    tombstone = F.coalesce(tomb, F.lit(False))
+    told = F.when(F.col("parse_reason").isNull() & has_key & ~tombstone, checks.issues(contract, F.col("rec")))
+    found = parsed.withColumn(
+        "_c",
+        settled(
+            F.struct(
+                F.coalesce(key.cast("string"), F.when(has_key, checks.text_of(raw))).alias("key"),
+                tombstone.alias("tombstone"),
+                told.alias("issues"),
+                (F.col("parse_reason").isNull() & F.coalesce(has_key, F.lit(False))).alias("readable"),
+            )
+        ),
+    )
     reason = (
         F.when(F.col("parse_reason").isNotNull(), F.col("parse_reason"))
-        .when(~F.coalesce(has_key, F.lit(False)), F.lit(f"missing key '{contract.key}'"))
-        .when(F.col("_issues") != "", F.concat(F.lit(VIOLATION), F.col("_issues")))
-    )
-    return found.select(
-        *[c for c in parsed.columns if c != "parse_reason"],
-        F.coalesce(key.cast("string"), F.when(has_key, checks.text_of(raw))).alias("key"),
-        "tombstone",
-        reason.alias("reason"),
-        (F.col("parse_reason").isNull() & F.coalesce(has_key, F.lit(False))).alias("readable"),
+        .when(~F.col("_c.readable"), F.lit(f"missing key '{contract.key}'"))
+        .when(F.col("_c.issues") != "", F.concat(F.lit(VIOLATION), F.col("_c.issues")))
     )
+    kept = [c for c in parsed.columns if c != "parse_reason"]
+    return found.select(*kept, "_c.key", "_c.tombstone", reason.alias("reason"), "_c.readable")
 
 
 def bad_lines(classified: DataFrame) -> DataFrame:

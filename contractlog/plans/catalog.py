@@ -268,6 +268,10 @@ def _rec(df: DataFrame, **cols) -> DataFrame:
     return df.withColumn("rec", F.parse_json(F.to_json(F.struct(*(c.alias(n) for n, c in cols.items())), {"ignoreNullFields": "false"})))
 
 
+def _issues(contract: Contract):
+    return classify.settled(checks.issues(contract, F.col("rec")))
+
+
 def _customers(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return _rec(c, id=F.col("c_custkey"), name=F.col("c_name"), balance=F.col("c_acctbal"), segment=F.col("c_mktsegment"))
@@ -281,7 +285,7 @@ _CUSTOMER_ISSUES = r"""concat_ws('; ',
 
 @query(f"SELECT * FROM (SELECT c_custkey, {_CUSTOMER_ISSUES} AS issues FROM customer) WHERE issues <> ''")
 def validate_issues(spark, sf_dir):
-    issues = checks.issues(parse_contract(logs.CUSTOMER_CONTRACT), F.col("rec"))
+    issues = _issues(parse_contract(logs.CUSTOMER_CONTRACT))
     return _customers(spark, sf_dir).select("c_custkey", issues.alias("issues")).where("issues <> ''")
 
 
@@ -290,7 +294,7 @@ def contract_evolution_diff(spark, sf_dir):
     """Records that a looser contract judges otherwise than the one before."""
     old = parse_contract(logs.CUSTOMER_CONTRACT)
     new = parse_contract("fields: {id: int, name: str, balance: {type: float, ge: -500}, segment: str}")
-    rows = _customers(spark, sf_dir).select("c_custkey", (checks.issues(old, F.col("rec")) != "").alias("was_bad"), (checks.issues(new, F.col("rec")) != "").alias("is_bad"))
+    rows = _customers(spark, sf_dir).select("c_custkey", (_issues(old) != "").alias("was_bad"), (_issues(new) != "").alias("is_bad"))
     return rows.where("was_bad <> is_bad")
 
 
@@ -317,7 +321,7 @@ def _rule_query(name: str):
         df = table(spark, sf_dir, source)
         absent_if_null = {"ignoreNullFields": "true"}
         rows = df.withColumn("rec", F.parse_json(F.to_json(F.struct(F.col(key).alias("id"), F.expr(column).alias("x")), absent_if_null)))
-        return rows.select(key, checks.issues(contract, F.col("rec")).alias("issues")).where("issues <> ''")
+        return rows.select(key, _issues(contract).alias("issues")).where("issues <> ''")
 
     run.__name__ = name
     said = message.replace("'", "''")
@@ -415,7 +419,7 @@ def default_materialise(spark, sf_dir):
 def null_vs_absent(spark, sf_dir):
     a = parse_contract("fields: {id: int, role: {type: str, default: member}}")
     b = parse_contract("fields: {id: int, role: {type: str, required: false}}")
-    return _event_variants(spark, sf_dir, _ROLE).select("n", checks.issues(a, F.col("rec")).alias("with_default"), checks.issues(b, F.col("rec")).alias("optional"))
+    return _event_variants(spark, sf_dir, _ROLE).select("n", _issues(a).alias("with_default"), _issues(b).alias("optional"))
 
 
 @query(
@@ -425,14 +429,14 @@ ELSE 'tags: Input should be a valid list' END AS issues FROM events"""
 def list_items_check(spark, sf_dir):
     given = "CASE n % 3 WHEN 0 THEN '{\"id\":1,\"tags\":[1,\"2\"]}' WHEN 1 THEN '{\"id\":1,\"tags\":[' || n || ',\"x\"]}' ELSE '{\"id\":1,\"tags\":\"x\"}' END"
     c = parse_contract("fields: {id: int, tags: {type: list, items: int}}")
-    return _event_variants(spark, sf_dir, given).select("n", checks.issues(c, F.col("rec")).alias("issues"))
+    return _event_variants(spark, sf_dir, given).select("n", _issues(c).alias("issues"))
 
 
 @query("SELECT event_id AS n, CASE event_id % 2 WHEN 0 THEN '' ELSE 'meta: Input should be a valid dictionary' END AS issues FROM events")
 def dict_object_check(spark, sf_dir):
     given = "CASE n % 2 WHEN 0 THEN '{\"id\":1,\"meta\":' || props || '}' ELSE '{\"id\":1,\"meta\":[' || n || ']}' END"
     c = parse_contract("fields: {id: int, meta: dict}")
-    return _event_variants(spark, sf_dir, given).select("n", checks.issues(c, F.col("rec")).alias("issues"))
+    return _event_variants(spark, sf_dir, given).select("n", _issues(c).alias("issues"))
 
 
 _EXTRA = "'{\"id\":' || n || ',\"k2\":' || props || ',\"a\":null}'"
@@ -444,19 +448,19 @@ def _extra(policy: str) -> Contract:
 
 @query("SELECT event_id AS n, 'a: Extra inputs are not permitted; k2: Extra inputs are not permitted' AS issues FROM events")
 def extra_forbid(spark, sf_dir):
-    return _event_variants(spark, sf_dir, _EXTRA).select("n", checks.issues(_extra("forbid"), F.col("rec")).alias("issues"))
+    return _event_variants(spark, sf_dir, _EXTRA).select("n", _issues(_extra("forbid")).alias("issues"))
 
 
 @query("SELECT event_id AS n, '' AS issues, '{\"id\":' || event_id || '}' AS record FROM events")
 def extra_ignore(spark, sf_dir):
     c = _extra("ignore")
-    return _event_variants(spark, sf_dir, _EXTRA).select("n", checks.issues(c, F.col("rec")).alias("issues"), checks.canonical(c, F.col("rec")).alias("record"))
+    return _event_variants(spark, sf_dir, _EXTRA).select("n", _issues(c).alias("issues"), checks.canonical(c, F.col("rec")).alias("record"))
 
 
 @query("SELECT event_id AS n, '' AS issues, '{\"id\":' || event_id || ',\"a\":null,\"k2\":' || replace(props, ' ', '') || '}' AS record FROM events")
 def extra_allow(spark, sf_dir):
     c = _extra("allow")
-    return _event_variants(spark, sf_dir, _EXTRA).select("n", checks.issues(c, F.col("rec")).alias("issues"), checks.canonical(c, F.col("rec")).alias("record"))
+    return _event_variants(spark, sf_dir, _EXTRA).select("n", _issues(c).alias("issues"), checks.canonical(c, F.col("rec")).alias("record"))
 
 
 # ---- writes -------------------------------------------------------------------------------
@@ -520,7 +524,7 @@ def delete_classify(spark, sf_dir):
 @query(_LIVE + "SELECT f.key, f.pos, '{\"user_id\":' || f.key || ',\"seq\":' || f.seq || ',\"kind\":\"' || json_extract_string(raw, '$.kind') || '\",\"props\":' || replace(json_extract_string(raw, '$.props'), ' ', '') || ',\"note\":\"none\"}' AS record FROM folded f JOIN c USING (seq)")
 def compact_result(spark, sf_dir):
     """What compaction writes: canonical records with their defaults, in order of pos."""
-    rows = _lines(spark, sf_dir).where("readable").withColumn("record", checks.canonical(logs.event_contract(), F.col("rec")))
+    rows = _lines(spark, sf_dir).where("readable").withColumn("record", classify.settled(checks.canonical(logs.event_contract(), F.col("rec"))))
     return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["record"], F.col("reason").isNull()).select("key", "pos", "record")
 
 
