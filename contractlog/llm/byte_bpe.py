@@ -13,7 +13,7 @@ back into bytes with the reversed table: a character split over tokens is whole
 ``decoded``; bytes that are no UTF-8 become U+FFFD in ``decoded_text`` only.
 
 A null text is an empty text, with no ids; null ids decode to nothing. Texts are never cut:
-a batch is handled in slices of about SLICE_CHARS characters, but always by whole texts.
+a batch is handled in slices of about SLICE_BYTES bytes, but always by whole texts.
 Ids outside the vocabulary raise. Columns of the input named like a result are replaced.
 """
 
@@ -25,12 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text that are encoded at once; encodings take far more memory than texts.
-SLICE_CHARS = 1 << 19
+from contractlog.llm.common import small_batches
+
+#: Text that is encoded at once (encodings take far more memory than texts), and rows that are decoded at once.
+SLICE_BYTES, DECODE_ROWS = 1 << 19, 512
 
 
 def default_ranks() -> str:
@@ -62,8 +65,14 @@ def split_below(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def model_files(ranks: dict[bytes, int]) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """(vocabulary, merges in order of rank) in byte characters."""
+def spelling(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The vocabulary in byte characters."""
+    chars = byte_characters()
+    return {"".join(chars[b] for b in token): rank for token, rank in ranks.items()}
+
+
+def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
+    """Merges in order of rank, in byte characters."""
     chars = byte_characters()
     spelt = lambda token: "".join(chars[b] for b in token)
     merges = []
@@ -72,7 +81,7 @@ def model_files(ranks: dict[bytes, int]) -> tuple[dict[str, int], list[tuple[str
             parts = split_below(token, ranks)
             pairs = [tuple(parts)] if len(parts) == 2 else [(token[:k], token[k:]) for k in range(1, len(token))]
             merges += [(spelt(a), spelt(b)) for a, b in pairs if a in ranks and b in ranks]
-    return {spelt(token): rank for token, rank in ranks.items()}, merges
+    return merges
 
 
 @lru_cache(maxsize=4)
@@ -81,29 +90,45 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    vocab, merges = model_files(read_ranks(path))
-    made = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+    ranks = read_ranks(path)
+    # without the library's cache of words: most words here are met once
+    made = Tokenizer(models.BPE(vocab=spelling(ranks), merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
     made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     return made
 
 
 @lru_cache(maxsize=4)
-def id_bytes(path: str) -> dict[int, bytes]:
-    """The bytes of each id, read back from the model's characters."""
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each id, from its byte characters by the reversed table; null where there is no such id."""
     back = {c: b for b, c in enumerate(byte_characters())}
-    return {k: bytes(back[c] for c in token) for token, k in tokenizer(path).get_vocab().items()}
+    vocab = spelling(read_ranks(path))
+    out: list[bytes | None] = [None] * (max(vocab.values()) + 1)
+    for token, k in vocab.items():
+        out[k] = bytes(back[c] for c in token)
+    return pa.array(out, pa.binary())
 
 
-def _slices(texts: list[str]):
-    """(start, end) of rows that are encoded together."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_CHARS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _slices(batch: pa.RecordBatch, col: str):
+    """Parts of a batch, by whole rows, with about SLICE_BYTES of text each."""
+    at = batch.schema.get_field_index(col)
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = min(batch.num_rows, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES)) + 1)
+        part = batch.slice(start, end - start)
+        yield part, ["" if t is None else t for t in part.column(at).to_pylist()]
+        start = end
+
+
+def character_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character of each token, from the tokens' lengths in bytes.
+
+    A byte belongs to the character that its last leading byte began, so a token with a part
+    of a character has the whole character's span.
+    """
+    ends = np.cumsum(lengths)
+    of = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1
+    return of[ends - lengths].astype(np.int32), (of[ends - 1] + 1).astype(np.int32)
 
 
 def _joined(batch: pa.RecordBatch, drop: set[str], **cols: pa.Array) -> pa.RecordBatch:
@@ -118,24 +143,24 @@ def _plus(df: DataFrame, drop: set[str], *fields: tuple[str, T.DataType]) -> T.S
 def _encoder(path: str, text_col: str, offsets: bool, drop: set[str]):
     def run(batches):
         model = tokenizer(path)
-        encode = model.encode_batch if offsets else model.encode_batch_fast
+        length = np.asarray(pc.fill_null(pc.binary_length(token_bytes(path)), 0))
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for start, end in _slices(texts):
-                coded = encode(texts[start:end], add_special_tokens=False)
-                at = pa.array(np.cumsum([0, *(len(e.ids) for e in coded)]), pa.int32())
+            for part, texts in _slices(batch, text_col):
+                ids = [np.array(e.ids, np.int32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+                at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 flat = lambda parts: pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), pa.int32()))  # noqa: B023, E731
-                made = {"ids": flat([np.array(e.ids, np.int32) for e in coded])}
+                made = {"ids": flat(ids)}
                 if offsets:
-                    both = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in coded]
-                    made |= {"starts": flat([x[:, 0] for x in both]), "ends": flat([x[:, 1] for x in both])}
-                yield _joined(batch.slice(start, end - start), drop, **made)
+                    spans = [character_spans(t.encode(), length[x]) for t, x in zip(texts, ids)]
+                    made |= {"starts": flat([x for x, _ in spans]), "ends": flat([x for _, x in spans])}
+                yield _joined(part, drop, **made)
 
     return run
 
 
 def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, offsets: bool = True) -> DataFrame:
     """df with ids array<int> and, with offsets, starts and ends array<int> (characters of the text)."""
+    small_batches(df.sparkSession)
     path, ints = ranks_path or default_ranks(), T.ArrayType(T.IntegerType(), False)
     fields = [("ids", ints), *([("starts", ints), ("ends", ints)] if offsets else [])]
     drop = {n for n, _ in fields}
@@ -146,12 +171,24 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
 
 def _decoder(path: str, ids_col: str, text: bool, drop: set[str]):
     def run(batches):
-        token = id_bytes(path)
-        for batch in batches:
-            found = [b"".join([token[k] for k in ids]) if ids else b"" for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            made = {"decoded": pa.array(found, pa.binary())}
+        token = token_bytes(path)
+        for batch in (b.slice(k, DECODE_ROWS) for b in batches for k in range(0, b.num_rows, DECODE_ROWS)):
+            lists = pc.fill_null(batch.column(batch.schema.get_field_index(ids_col)), [])
+            ids = lists.flatten()
+            if ids.null_count or (len(ids) and (pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(token))):
+                raise ValueError("an id outside the vocabulary")
+            parts = token.take(ids)
+            if parts.null_count:
+                raise ValueError("an id outside the vocabulary")
+            # the bytes of all tokens follow each other; a row's begin and end with its tokens
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(parts)).astype(np.int64))])
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            rows = pa.array(bounds[ends - ends[0]], pa.int32())
+            whole = pa.array([b"".join(parts.to_pylist())]) if parts.offset else parts
+            data = whole.buffers()[2] or pa.py_buffer(b"")
+            made = {"decoded": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, rows.buffers()[1], data])}
             if text:
-                made["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in found], pa.string())
+                made["decoded_text"] = pa.array([x.decode("utf-8", "replace") for x in made["decoded"].to_pylist()], pa.string())
             yield _joined(batch, drop, **made)
 
     return run
@@ -159,6 +196,7 @@ def _decoder(path: str, ids_col: str, text: bool, drop: set[str]):
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str | None = None, text: bool = True) -> DataFrame:
     """df with decoded binary (the exact bytes) and, if asked for, decoded_text string."""
+    small_batches(df.sparkSession)
     fields = [("decoded", T.BinaryType()), *([("decoded_text", T.StringType())] if text else [])]
     drop = {n for n, _ in fields}
     return df.mapInArrow(_decoder(ranks_path or default_ranks(), ids_col, text, drop), _plus(df, drop, *fields))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MOST_FILTER_BITS = 1 << 28
 #: Bits of one bitmap of bitmap_construct_agg.
 BITMAP_BITS = 32768
+#: Rows of an Arrow batch at most.
+ARROW_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most ARROW_ROWS rows at once: both sides hold a batch whole, and texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:
@@ -53,6 +62,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/contractlog/{what}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
+        small_batches(spark)
 
     def drop(self) -> None:
         try:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contractlog.llm.common import Scratch, small_batches
+
 #: Labelled documents of each language that the fit reads at most; languages at most.
 SAMPLE, MOST_LANGS = 300, 256
 BUCKETS = 1 << 15
@@ -126,6 +128,7 @@ def _reader(model):
 
 def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, lang, probability, text_lang, declared, host, suffix."""
+    small_batches(pages.sparkSession)
     langs = model.langs
     if not langs:
         raise ValueError("there are no labelled texts to tell languages by")
@@ -135,8 +138,6 @@ def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
         F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), declared_of(F.col(html_col)).alias("declared"), F.col(html_col).alias("html")
     ).withColumn("suffix", suffix_of(F.col("host")))
     known = f"id {dict(pages.dtypes)[id_col]}, host string, declared string, suffix string, p array<double>"
-    from contractlog.llm.common import Scratch
-
     seen = Scratch(pages.sparkSession, "lang").write(
         rows.select("id", "host", "declared", "suffix", "html").mapInArrow(_reader(sent), known), "text"
     )

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contractlog.llm.common import small_batches
 from contractlog.llm.sampling import class_shares, held_out, labelled_sample
 
 #: Labelled rows of each label at most; latent dimensions; neighbours that vote; power of a similarity in its vote.
@@ -164,12 +165,14 @@ def _scorer(model):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    small_batches(docs.sparkSession)
     rows = sorted(labelled_sample(docs, labels, label_col, per_label, id_col, text_col).collect(), key=lambda r: (r.id, r.label, r.text))
     return fit([r.text for r in rows], [r.label for r in rows], class_shares(labels, label_col, id_col))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = rows.mapInArrow(_scorer(sent), f"id {dict(docs.dtypes)[id_col]}, score double")
@@ -190,5 +193,6 @@ def _filterer(model, text_col: str, threshold: float):
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text the classifier accepts, all columns as they were."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_filterer(sent, text_col, threshold), docs.schema)

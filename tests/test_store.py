@@ -94,7 +94,7 @@ def test_positions_and_line_ends(file_store, spark):
 
 def test_every_cut_of_the_tail(file_store):
     text = (json.dumps(who("cy", name="C" + "é中😀" * 3), ensure_ascii=False) + "\n").encode()
-    for cut in range(0, len(text), 9):
+    for cut in range(0, len(text), 16):
         s = file_store(ADA, who("bob"), text[:cut])
         live = [r["id"] for r in shown(s)]
         assert live[:2] == ["ada", "bob"] and len(live) == 2 + (cut == len(text))
