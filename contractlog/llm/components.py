@@ -30,8 +30,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     ).select("l.a", "l.b").where("a <> b")
 
 
-def _print_of(links: DataFrame):
-    return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none to a lesser one itself."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -42,16 +46,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     current = scratch.write(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
     )
-    seen = _print_of(current)
     for k in range(1, MOST_ROUNDS):
-        if not seen[0]:
-            break
-        large = scratch.write(_large_star(current).distinct(), f"{name}-{k}-large")
-        after = scratch.write(_small_star(large).distinct(), f"{name}-{k}")
-        now = _print_of(after)
-        current, seen, before = after, now, seen
-        if now == before:
+        if _settled(current):
             break
+        large = _large_star(current).distinct()
+        current = scratch.write(_small_star(large).distinct(), f"{name}-{k}")
     else:
         raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
     # settled: every link leads from a node to the least node of its component

@@ -12,14 +12,20 @@ Detection", 2008):
    Documents with equal sets are one *class* from here on; its least id stands for it.
 2. **postings**: of each set only its prefix, by that order. Sizes x need the first
    ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the first
-   ``x - ceil(t x) + 1`` against shorter ones.
-3. **lists**: n-grams in the prefixes of two or more documents. In each round every class of
-   a list is paired with one *anchor* of the list, and what has been verified becomes
-   links; classes that are connected already need no further pair. Thousands of near
-   copies thus cost a pair each and not a pair for every two of them.
+   ``x - ceil(t x) + 1`` against shorter ones. Beside the length and positional filters, a
+   bitmap filter (Sandes et al., "Bitmap Filter", 2020) holds back pairs early: 256 parities
+   of each set, of which no more can differ than n-grams do.
+3. **lists**: n-grams in the prefixes of two or more documents. In the first round every
+   class of a list is paired with one *anchor* of the list, and what has been verified
+   becomes links. Then the classes outside a list's largest component are paired with an
+   anchor of that component, and in the last round, when few components are left, with an
+   anchor of each other component; classes that are connected already need no further pair.
+   Thousands of near copies thus cost a few pairs each and not a pair for every two of them.
 4. **rest**: for lists that still join several components, every pair between different
    components, reached from the members outside the list's largest component. This step
-   leaves out nothing that the filters let pass: rounds only make it small.
+   leaves out nothing that the filters let pass: rounds only make it small, and they end
+   early where little is left. Here all n-grams that two prefixes share are known, and
+   their number bounds the intersection as well.
 5. **verify**: each pair once, by the suffix filter (the sets' sizes between fixed pivots
    bound their difference) and then by the exact intersection.
 
@@ -47,13 +53,15 @@ PERCENT = 75
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
 #: Rounds of anchors at most before the exact rest; pairs of the rest, as a multiple of the lists' length, that need no further round.
-ROUNDS = 4
+ROUNDS = 3
 EASY_REST = 2
 #: Text that one task splits into words at once.
 SLICE_BYTES = 1 << 22
 #: Rows of one Arrow batch that a task hands back.
 BATCH_ROWS = 1 << 17
 SUFFIX_PIVOTS = 16
+#: Columns of the parity bitmap, of 64 bits each.
+BITMAP = ("w0", "w1", "w2", "w3")
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = 0x9E3779B97F4A7C15
@@ -125,36 +133,51 @@ def _texts(batches, n: int):
         yield from zip(batch.column(0).to_pylist(), shingle(batch.column(1)))
 
 
-PROFILE = "id long, n long, digest binary, chunk int, counts binary"
+PROFILE = "id long, n long, digest binary, w0 long, w1 long, w2 long, w3 long, chunk int, counts binary"
+PROFILE_NAMES = ["id", "n", "digest", *BITMAP, "chunk", "counts"]
+
+
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Of each of 256 buckets whether it holds an odd number of the n-grams, as four integers."""
+    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profile(n: int):
     def run(batches):
         counts = np.zeros(COUNTERS, np.int32)
-        ids, sizes, digests = [], [], []
+        ids, sizes, digests, bitmaps = [], [], [], []
 
         def rows():
             none = pa.nulls(len(ids))
+            words = np.array(bitmaps, np.int64).reshape(-1, len(BITMAP)).T
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["id", "n", "digest", "chunk", "counts"],
-            )
+                [
+                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                    *(pa.array(np.ascontiguousarray(w)) for w in words), none.cast(pa.int32()), none.cast(pa.binary()),
+                ],
+                PROFILE_NAMES,
+            )
 
         for i, s in _texts(batches, n):
             np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             ids.append(i)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            bitmaps.append(_parities(s))
             if len(ids) >= 8192:
                 yield rows()
-                ids, sizes, digests = [], [], []
+                ids, sizes, digests, bitmaps = [], [], [], []
         yield rows()
         chunks = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         none = pa.nulls(len(chunks))
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(chunks, pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary())],
-            ["id", "n", "digest", "chunk", "counts"],
-        )
+            [
+                none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), *(none.cast(pa.int64()) for _ in BITMAP),
+                pa.array(chunks, pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary()),
+            ],
+            PROFILE_NAMES,
+        )
 
     return run
 
@@ -271,66 +294,72 @@ class NgramJoin:
         write = self.scratch.write
         seen = write(self.docs.mapInArrow(_profile(self.n), PROFILE), "profile")
         profile = seen.where("chunk is null").select("id", "n", "digest")
-        least = profile.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-        self.reps = write(least, "classes")
+        least = seen.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", *BITMAP)).alias("rep"))
+        self.reps = write(least.select("rep.*"), "classes")
         lists = self._lists(frequency_classes(seen))
         self.scratch.tidy()
-        links = None
-        for k in range(ROUNDS + 1):
-            pairs = self._anchored(lists, k) if k < ROUNDS else self._rest(lists)
-            found = write(self._verified(pairs, k), f"links-{k}")
-            self.scratch.forget(f"pairs-{k}", f"ids-{k}", f"sets-{k}")
-            links = found if links is None else links.unionByName(found)
-            self.found = components(links, self.scratch, f"cc-{k}")
-            self.scratch.tidy()
-            if k == ROUNDS:
-                break
+        self.found = None
+        for k in range(ROUNDS):
+            self._connect(self._anchored(lists, k), k)
             lists, left = self._mixed(lists, k)
             if not left:
+                return profile, self.found
+            if left <= EASY_REST * self.listed:
                 break
-            if left <= EASY_REST * self.listed and k < ROUNDS - 1:
-                found = write(self._verified(self._rest(lists), ROUNDS), f"links-{ROUNDS}")
-                self.found = components(links.unionByName(found), self.scratch, f"cc-{ROUNDS}")
-                break
+        self._connect(self._rest(lists), ROUNDS)
         return profile, self.found
 
+    def _connect(self, pairs: DataFrame, k: int) -> None:
+        """Verify pairs and join what their links connect; each node's link to its least one stands for earlier links."""
+        links = self.scratch.write(self._verified(pairs, k), f"links-{k}")
+        self.scratch.forget(f"pairs-{k}", f"ids-{k}", f"sets-{k}")
+        if self.found is not None:
+            links = links.unionByName(self.found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.found = components(links, self.scratch, f"cc-{k}")
+        self.scratch.tidy()
+
     def _lists(self, freq: np.ndarray) -> DataFrame:
         """Postings of the n-grams that stand in the prefixes of two classes or more."""
         order = self.docs.sparkSession.sparkContext.broadcast(freq)
         postings = self.scratch.write(self.docs.mapInArrow(_postings(self.n, self.percent, order), POSTINGS), "postings")
         shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         found = self.scratch.write(postings.join(shared, "h"), "shared")
-        reps = self.reps.select(F.col("rep").alias("id"))
         p = self.percent
-        listed = found.join(reps, "id", "left_semi").withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
+        listed = found.join(self.reps, "id").withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
         listed = self.scratch.write(listed.withColumn("comp", F.col("id")), "lists")
         self.scratch.forget("postings", "shared")
         self.listed = listed.count()
         return listed
 
     def _close(self) -> F.Column:
-        """Length and positional filters on columns n, pos, early and n2, pos2, early2."""
+        """Length, positional and bitmap filters on the columns of two lists, those of the second ending in 2."""
         p = self.percent
         return F.expr(
             f"100 * least(n, n2) >= {p} * greatest(n, n2)"
             f" and {100 + p} * (1L + least(n - pos, n2 - pos2)) >= {p} * (n + n2)"
             " and ((early and n <= n2) or (early2 and n2 <= n))"
+            f" and {' + '.join(f'bit_count({w} ^ {w}2)' for w in BITMAP)} <= n + n2 - 2 * ceil({p} * (n + n2) / {100 + p})"
         )
 
     @staticmethod
     def _other(lists: DataFrame) -> DataFrame:
-        return lists.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "early", "comp")))
+        return lists.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "early", "comp", *BITMAP)))
 
     @staticmethod
     def _pairs(joined: DataFrame) -> DataFrame:
         return joined.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
     def _anchored(self, lists: DataFrame, k: int) -> DataFrame:
-        """Each class of a list with the list's anchor, another one in each round."""
-        rank = F.xxhash64(F.col("id"), F.lit(k))
-        first = lists.groupBy("h").agg(F.min(rank).alias("r"), F.count("*").alias("c")).where("c > 1").drop("c")
-        ranked = lists.withColumn("r", rank)
-        anchors = self._other(ranked.join(first, ["h", "r"]).dropDuplicates(["h", "r"]))
+        """Each class of a list with the list's anchor; later those outside its largest component with an anchor of that, at last of each."""
+        rank = F.xxhash64("id", F.lit(k), *(["h"] if k else []))
+        one = F.min(F.struct(rank.alias("r"), "id", "n", "pos", "early", "comp", *BITMAP)).alias("one")
+        if k:
+            lists = lists.join(self.tops.select("h", "top"), "h")
+            among = lists if k == ROUNDS - 1 else lists.where("comp = top")
+            anchors, lists = among.groupBy("h", F.col("comp").alias("of")).agg(one), lists.where("comp <> top")
+        else:
+            anchors = lists.groupBy("h").agg(one)
+        anchors = self._other(anchors.select("h", "one.*"))
         return self._pairs(lists.join(anchors, "h").where((F.col("comp") != F.col("comp2")) & self._close()))
 
     def _mixed(self, lists: DataFrame, k: int) -> tuple[DataFrame, int]:
@@ -345,9 +374,19 @@ class NgramJoin:
         return now.join(self.tops.select("h"), "h", "left_semi"), left
 
     def _rest(self, lists: DataFrame) -> DataFrame:
-        """All pairs of different components; one of each is outside its list's largest component."""
-        few = lists.join(self.tops.select("h", "top"), "h").where("comp <> top").drop("top")
-        return self._pairs(few.join(self._other(lists), "h").where((F.col("comp") != F.col("comp2")) & self._close()))
+        """All pairs of different components; one of each is outside its list's largest component.
+
+        A pair meets in every list of an n-gram that both prefixes hold, up to the last one that
+        the positional filter lets pass; what follows that one is at most the shorter remainder.
+        """
+        few = lists.join(self.tops.select("h", "top"), "h").where("comp <> top")
+        met = few.join(self._other(lists), "h").where(
+            (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("id") < F.col("id2"))) & self._close()
+        )
+        pairs = met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(
+            F.count("*").alias("met"), F.min(F.expr("least(n - pos, n2 - pos2)")).alias("more"), F.min(F.expr("n + n2")).alias("both")
+        )
+        return pairs.where(f"{100 + self.percent} * (met + more) >= {self.percent} * both").select("a", "b")
 
     def _verified(self, pairs: DataFrame, k: int) -> DataFrame:
         pairs = self.scratch.write(pairs, f"pairs-{k}")
