@@ -30,6 +30,11 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.query(table(spark, sf_dir, "documents"))
 
 
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every row of documents; op4_token_rollup leaves out short texts, as its SQL does."""
+    return token_rollup.whole(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
 
@@ -70,6 +75,7 @@ def queries() -> dict:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_quality": op3_quality,
         "op4_token_rollup": op4_token_rollup,
+        "token_totals": token_totals,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,

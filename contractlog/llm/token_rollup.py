@@ -13,6 +13,10 @@ that names the batches it holds; the newest complete base and the batches outsid
 state, so readers see each batch exactly once at any moment. The folder's file system must
 rename folders atomically (HDFS and local disks do; object stores need a committer that does).
 
+A tokenizer version is a name: one of TOKENIZERS (column functions) or one of MODELS (rank files
+of the op2 encoder, whose ids are counted). A new version of a tokenizer is a new name, whose counts
+come by a batch of their own; the old one's go by deletes of its name alone.
+
 A null source, language or text is a value of its own (a null text has no tokens; its row
 counts as a document). Totals that return to zero documents and tokens are left out. Rows
 that repeat count each time. Other columns are ignored.
@@ -26,23 +30,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlog.llm import byte_bpe
 from contractlog.llm.common import shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
 
-#: Tokenizer versions of the query: name -> tokens of a text.
+#: Tokenizer versions without a model: name -> white-space words or UTF-8 bytes of a text.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
     "words-1": lambda text: F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")),
     "bytes-1": F.octet_length,
 }
+#: Tokenizer versions that the op2 encoder runs: name -> rank file (None: the one of op2).
+MODELS: dict[str, str | None] = {"byte-bpe-multi-50k-1": None}
 
 
-def counted(docs: DataFrame, sign: int, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def counted(
+    docs: DataFrame, sign: int, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS, text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    models: dict[str, str | None] | None = None,
+) -> DataFrame:
     """Signed changes of documents: one row for each document and tokenizer version."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = F.array(*(F.struct(F.lit(k).alias("tokenizer"), f(text).cast("long").alias("n")) for k, f in tokenizers.items()))
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.explode(each).alias("c"))
+    pairs = [(k, f(text).cast("long")) for k, f in tokenizers.items()]
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), *(n.alias(f"n{k}") for k, (_, n) in enumerate(pairs)))
+    names = [k for k, _ in pairs]
+    for name, ranks in (models or {}).items():
+        coded = byte_bpe.encode(rows, "text", ranks, offsets=False)
+        rows = coded.withColumn(f"n{len(names)}", F.size("ids").cast("long")).drop("ids")
+        names.append(name)
+    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), F.col(f"n{k}").alias("n")) for k, name in enumerate(names)))
+    rows = rows.select("source", "lang", F.explode(each).alias("c"))
     return rows.select("source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("documents"), (F.col("c.n") * sign).alias("tokens"))
 
 
@@ -129,21 +146,42 @@ class Rollup:
                 self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
 
 
+def _short(docs: DataFrame) -> DataFrame:
+    return docs.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) < 5)
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """Token totals of every document by the words, the bytes and the op2 encoder's ids of its text as it is.
+
+    All documents are loaded, and again; the encoder's version comes as a later batch; texts of
+    under five words are withdrawn and inserted again, so the totals cover every row.
+    """
+    rollup = Rollup(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/contractlog/rollup-{uuid.uuid4().hex}")
+    plain = docs.select("source", "lang", "text")
+    for _ in range(2):
+        rollup.commit("load", inserts(plain))
+    rollup.commit("encoder", inserts(plain, tokenizers={}, models=MODELS))
+    rollup.commit("withdraw", deletes(_short(plain), models=MODELS))
+    rollup.compact()
+    rollup.commit("restore", inserts(_short(plain), models=MODELS))
+    return rollup.totals()
+
+
 def query(docs: DataFrame) -> DataFrame:
     """The op4 query: load all documents, load them again, revise all, withdraw the shortest.
 
     The revision counts every text anew after each run of white space has become one space
-    (other byte counts, same words); texts of under five words are then withdrawn.
+    (other byte counts, same words); texts of under five words are then withdrawn, as in
+    QUERY_SQL: these are not the counts of all documents, which whole() gives.
     """
     rollup = Rollup(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/contractlog/rollup-{uuid.uuid4().hex}")
     plain = docs.select("source", "lang", "text")
     tidy = plain.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    short = tidy.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) < 5)
     for _ in range(2):
         rollup.commit("load", inserts(plain))
     rollup.commit("revise", revisions(plain, tidy))
     rollup.compact()
-    rollup.commit("withdraw", deletes(short))
+    rollup.commit("withdraw", deletes(_short(tidy)))
     return rollup.totals()
 
 

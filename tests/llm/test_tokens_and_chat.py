@@ -126,6 +126,30 @@ def test_rollup_is_idempotent(spark):
     assert rollup.commit("4", token_rollup.inserts(docs.limit(0))) and state()[("a", "en", "words-1")] == (2, 6)
 
 
+def test_totals_cover_every_row(spark):
+    ref, name = reference_encoding(), "byte-bpe-multi-50k-1"
+    texts = [*ODD[:4], "中文字" * 4000, "QUJD" * 5000, "five words stand right here", "five words stand right here", "\ttwo  words\n"]
+    rows = [("ab"[k % 2], [None, "en"][k % 3 == 0], t) for k, t in enumerate(texts)] + [(None, None, "x")]
+    df = spark.createDataFrame(rows, "source string, lang string, text string")
+    want = {}
+    for source, lang, text in rows:
+        text = text or ""
+        for tokenizer, n in (("words-1", len(text.split())), ("bytes-1", len(text.encode())), (name, len(ref.encode_ordinary(text)))):
+            docs, tokens = want.get((source, lang, tokenizer), (0, 0))
+            want[(source, lang, tokenizer)] = (docs + 1, tokens + n)
+    state = lambda found: {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in found.collect()}
+    assert state(token_rollup.whole(df)) == want
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-versions")
+    rollup.commit("1", token_rollup.inserts(df, models=token_rollup.MODELS))
+    rollup.commit("2", token_rollup.deletes(df, tokenizers={}, models=token_rollup.MODELS))
+    rollup.commit("3", token_rollup.inserts(df, tokenizers={}, models={"byte-bpe-multi-50k-2": byte_bpe.default_ranks()}))
+    assert state(rollup.totals()) == {(s, g, t.replace("50k-1", "50k-2")): n for (s, g, t), n in want.items()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert {r.tokenizer: r.n for r in catalog.token_totals(spark, SMALL).groupBy("tokenizer").agg(F.sum("documents").alias("n")).collect()} == {
+        t: docs.count() for t in ("words-1", "bytes-1", name)
+    }
+
+
 def brute_weights(totals, entropy, repeats, budget=None):
     t = np.array(sorted(totals.values()), float)
     total, p = t.sum(), np.sort(t / t.sum())
