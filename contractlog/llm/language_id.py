@@ -26,6 +26,7 @@ those that repeat an id; ties go to the first language by name. Other columns ar
 
 from __future__ import annotations
 
+import html
 import re
 
 import numpy as np
@@ -41,13 +42,15 @@ BUCKETS = 1 << 15
 #: Trigrams that a text counts for at most; pseudo-pages of each level; pseudo-counts of true and of other declarations.
 EVIDENCE, SMOOTH, CLEAN, OTHER = 40.0, 5.0, 8.0, 1.0
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_ENTITY = re.compile(r"&#?\w{1,32};")
+_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[A-Za-z/!?][^>]*>")
 
 
-def visible(html: str | None) -> str:
-    """The text of a page without scripts, styles, comments, tags and entities."""
-    return _ENTITY.sub(" ", _HIDDEN.sub(" ", html or ""))
+def visible(page: str | None) -> str:
+    """The text of a page without scripts, styles, comments and tags, its character references decoded.
+
+    A ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text, as is one that a reference gives.
+    """
+    return html.unescape(_HIDDEN.sub(" ", page or ""))
 
 
 def trigrams(text: str) -> np.ndarray:

@@ -147,6 +147,17 @@ def test_language_equals_brute_force(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_references_and_bare_signs_are_text(spark):
+    assert language_id.visible("a < b and c > d <b>e</b>f<!-- g --><?h?></i >&lt;p&gt;").split() == "a < b and c > d e f <p>".split()
+    assert language_id.visible("&#1087;&#x440;&eacute;&nbsp;&uuml;&amp;eacute;") == "\u043f\u0440\u00e9\u00a0\u00fc&eacute;"
+    texts = ["привет большой мир", "der große Hund über München", "le château de la forêt"]
+    model = language_id.fit(texts * 3, ["ru", "de", "fr"] * 3)
+    coded = ["".join(f"&#{ord(c)};" for c in texts[0]), "der gro&szlig;e Hund &uuml;ber M&uuml;nchen", "le ch&acirc;teau 1 < 2 de la for&#xEA;t"]
+    df = spark.createDataFrame([(k, None, f"<p>{t}</p>") for k, t in enumerate(coded)], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in language_id.identify(df, model).collect()} == {0: "ru", 1: "de", 2: "fr"}
+    assert all((language_id.trigrams(language_id.visible(c)) == language_id.trigrams(t)).all() for c, t in zip(coded[:2], texts))
+
+
 def test_language_of_the_pages(spark):
     docs, pages = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "pages"))
     got = language_id.identify(pages, language_id.train(docs)).collect()
