@@ -20,8 +20,9 @@ components of all forests are those of all links.
 
 Vectors link only within equal, non-null labels (and equal lengths). A null or zero vector,
 or one with null or non-finite components, links with nothing; so does a row with a null
-id, whose component is null. Rows that repeat an id count as vectors of their own in
-n_links, and share a component if they are linked. Other columns are ignored.
+id, whose component is null. There is one row for each row: points have keys of their own, so
+rows that repeat an id count as vectors of their own in n_links, and share a component if they
+are linked; a component's name is its least id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,16 +57,15 @@ def _usable(vec, dtype=np.float64):
 
 
 def _points(batches):
-    """(id, label, dim, raw) of vectors that can link; raw: the components as doubles."""
+    """(id, label, dim, raw) of every row; raw: the components as doubles, null where nothing can link."""
     for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
         ids, labels, dims, raws = [], [], [], []
         for i, vec, label in zip(*(c.to_pylist() for c in batch.columns[:3])):
             x = None if i is None or label is None else _usable(vec)
-            if x is not None:
-                ids.append(i)
-                labels.append(label)
-                dims.append(len(x))
-                raws.append((x + 0.0).tobytes())  # -0.0 becomes 0.0
+            ids.append(i)
+            labels.append(label)
+            dims.append(None if x is None else len(x))
+            raws.append(None if x is None else (x + 0.0).tobytes())  # -0.0 becomes 0.0
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())],
             ["id", "label", "dim", "raw"],
@@ -287,9 +287,13 @@ class GridJoin:
         write, sc = self.scratch.write, self.rows.sparkSession.sparkContext
         every = write(self.rows.mapInArrow(_points, "id long, label string, dim int, raw binary"), "every")
         keys = ["label", "dim", "raw"]
-        points = every.groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("n"))
-        points = write(points.select("id", *keys, "n"), "points")
-        self.members = every.join(points.withColumnRenamed("id", "rep"), keys).select("id", "rep", "n")
+        self.alone = every.where("raw is null").select("id")
+        every = every.where("raw is not null")
+        points = every.groupBy(*keys).agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        # the key of a point is settled by writing it: ids can stand on several points
+        points = write(points.select(F.monotonically_increasing_id().alias("id"), *keys, "n", "least"), "points")
+        self.members = every.join(points.withColumnRenamed("id", "rep"), keys).select("id", "rep", "n", "least")
+        self.points, points = points.select("id", "least"), points.drop("least")
         axes = sc.broadcast(principal(points))
         cells = [f"c{k}" for k in range(SORT_DIMS)]
         placed = points.mapInArrow(_cells(axes, self.eps), f"id long, label string, dim int, raw binary, n long, proj binary, {', '.join(f'{c} int' for c in cells)}")
@@ -349,13 +353,15 @@ class GridJoin:
         made = self.scratch.write(both.mapInArrow(_compare(self.cosine), "id long, links long, to long"), "made")
         counts = made.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
         found = components(made.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")), self.scratch)
+        # a component of points is named by the least id of their rows
+        names = found.join(self.points.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("name"))
+        named = found.join(names, "component").select(F.col("node").alias("rep"), "name")
         known = (
             self.members.join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-            .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+            .join(named, "rep", "left")
+            .select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("name", "least").alias("component"))
         )
-        alone = self.rows.select("id").join(known.select("id"), "id", "left_anti")
-        return known.unionByName(alone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+        return known.unionByName(self.alone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
 def _lifted_by_label(batches):
