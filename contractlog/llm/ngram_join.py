@@ -9,7 +9,8 @@ Detection", 2008):
    documents in 2 ** 20 counters. The counters order the n-grams from rare to frequent;
    they are the only thing that is broadcast, and their size is fixed. Any total order
    gives right results, so counters shared by several n-grams cost speed at most.
-   Documents with equal sets are one *class* from here on; its least id stands for it.
+   Documents with equal sets are one *class* from here on; the row of its least id stands
+   for it, by a 64-bit key of (id, text): an id can stand on several texts, and is a name only.
 2. **postings**: of each set only its prefix, by that order. Sizes x need the first
    ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the first
    ``x - ceil(t x) + 1`` against shorter ones. Beside the length and positional filters, a
@@ -32,7 +33,8 @@ Detection", 2008):
 A false equality of two hashes within one pair has a probability below
 ``(x + y) ** 2 / 2 ** 64``. A null text is an empty text: no n-gram, no link. A text with
 fewer words than n has its whole sequence as its only n-gram. A null id links with nothing
-and has a null component. Repeated ids are judged row by row. Extra columns are ignored.
+and has a null component. Repeated ids are judged row by row. Extra columns are ignored. Keys
+are salted anew until no two rows of one key differ in id or set.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractlog.llm.common import Scratch, filter_bits, maybe_member, membership
@@ -133,8 +135,8 @@ def _texts(batches, n: int):
         yield from zip(batch.column(0).to_pylist(), shingle(batch.column(1)))
 
 
-PROFILE = "id long, n long, digest binary, w0 long, w1 long, w2 long, w3 long, chunk int, counts binary"
-PROFILE_NAMES = ["id", "n", "digest", *BITMAP, "chunk", "counts"]
+PROFILE = "id long, doc long, n long, digest binary, w0 long, w1 long, w2 long, w3 long, chunk int, counts binary"
+PROFILE_NAMES = ["id", "doc", "n", "digest", *BITMAP, "chunk", "counts"]
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -146,34 +148,37 @@ def _parities(s: np.ndarray) -> np.ndarray:
 def _profile(n: int):
     def run(batches):
         counts = np.zeros(COUNTERS, np.int32)
-        ids, sizes, digests, bitmaps = [], [], [], []
+        ids, docs, sizes, digests, bitmaps = [], [], [], [], []
+        shingle = Shingler(n)
 
         def rows():
             none = pa.nulls(len(ids))
             words = np.array(bitmaps, np.int64).reshape(-1, len(BITMAP)).T
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     *(pa.array(np.ascontiguousarray(w)) for w in words), none.cast(pa.int32()), none.cast(pa.binary()),
                 ],
                 PROFILE_NAMES,
             )
 
-        for i, s in _texts(batches, n):
-            np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            ids.append(i)
-            sizes.append(len(s))
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            bitmaps.append(_parities(s))
-            if len(ids) >= 8192:
-                yield rows()
-                ids, sizes, digests, bitmaps = [], [], [], []
+        for batch in _slices(batches):
+            for i, doc, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle(batch.column(1))):
+                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                ids.append(i)
+                docs.append(doc)
+                sizes.append(len(s))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bitmaps.append(_parities(s))
+                if len(ids) >= 8192:
+                    yield rows()
+                    ids, docs, sizes, digests, bitmaps = [], [], [], [], []
         yield rows()
         chunks = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         none = pa.nulls(len(chunks))
         yield pa.RecordBatch.from_arrays(
             [
-                none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), *(none.cast(pa.int64()) for _ in BITMAP),
+                *(none.cast(pa.int64()) for _ in range(3)), none.cast(pa.binary()), *(none.cast(pa.int64()) for _ in BITMAP),
                 pa.array(chunks, pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary()),
             ],
             PROFILE_NAMES,
@@ -225,7 +230,7 @@ def _postings(n: int, percent: int, order):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "n", "pos"])
 
         for i, s in _texts(batches, n):
-            if i is None or not len(s):
+            if not len(s):
                 continue
             size = len(s)
             prefix = size - _ceil(percent * size, 100) + 1
@@ -282,20 +287,32 @@ def _verify(percent: int):
     return run
 
 
+def _key(salt: int, id_col: str, text_col: str) -> Column:
+    """The key of a row, in 64 bits."""
+    return F.xxhash64(F.lit(salt), F.col(id_col).cast("long"), F.col(text_col))
+
+
 class NgramJoin:
     """Links of one table; see the module. ``percent`` and ``n`` are the contract's 75 and 5."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.rows = lambda salt: docs.select(_key(salt, id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
         self.n, self.percent, self.scratch = n, percent, Scratch(docs.sparkSession, "ngrams")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """(profile of every row: id, n, digest), (id of a class's least member, component)."""
-        write = self.scratch.write
-        seen = write(self.docs.mapInArrow(_profile(self.n), PROFILE), "profile")
-        profile = seen.where("chunk is null").select("id", "n", "digest")
-        least = seen.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", *BITMAP)).alias("rep"))
-        self.reps = write(least.select("rep.*"), "classes")
+        """(profile of every row: key, id, n, digest as id, doc, n, digest), (key of a class's row, component: such a key)."""
+        write, self.salt = self.scratch.write, 0
+        while True:
+            rows = self.rows(self.salt)
+            seen = write(rows.mapInArrow(_profile(self.n), PROFILE), f"profile-{self.salt}")
+            profile = seen.where("chunk is null").select("id", "doc", "n", "digest")
+            other = F.xxhash64("doc", "digest")
+            if profile.groupBy("id").agg(F.min(other).alias("x"), F.max(other).alias("y")).where("x <> y").isEmpty():
+                break
+            self.salt += 1
+        self.docs = rows.where("doc is not null").select("id", "text")
+        least = seen.where("digest is not null and doc is not null").groupBy("digest").agg(F.min(F.struct("doc", "id", *BITMAP)).alias("rep"))
+        self.reps = write(least.select("rep.id", *(f"rep.{w}" for w in BITMAP)), "classes")
         lists = self._lists(frequency_classes(seen))
         self.scratch.tidy()
         self.found = None
@@ -393,7 +410,7 @@ class NgramJoin:
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         ids = self.scratch.write(ids, f"ids-{k}")
         bits = filter_bits(ids.count())
-        near = maybe_member(self.docs.where("id is not null"), "id", membership(ids, "id", bits), bits).where("maybe")
+        near = maybe_member(self.docs, "id", membership(ids, "id", bits), bits).where("maybe")
         sets = near.select("id", "text").mapInArrow(_sets(self.n), "id long, s binary")
         sets = self.scratch.write(sets.join(ids, "id", "left_semi"), f"sets-{k}")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
@@ -403,17 +420,31 @@ class NgramJoin:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id that links reach)."""
     profile, found = NgramJoin(docs, id_col, text_col, n, percent).run()
-    return _labelled(profile, found).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return _labelled(profile, found).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _labelled(profile: DataFrame, found: DataFrame) -> DataFrame:
-    reps = profile.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    known = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
-    return profile.join(known, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component"))
+    """The profile with the component's least id, and whether the row is of the class and id that stand for the component."""
+    reps = profile.where("digest is not null and doc is not null").groupBy("digest").agg(F.min(F.struct("doc", "id")).alias("rep"))
+    reps = reps.select("digest", F.col("rep.doc").alias("least"), F.col("rep.id").alias("node"))
+    linked = found.join(reps, "node")
+    heads = linked.groupBy("component").agg(F.min(F.struct("least", "node")).alias("head"))
+    linked = linked.join(heads, "component").select("node", "head")
+    known = reps.join(linked, "node", "left").select("digest", F.coalesce("head.least", "least").alias("c"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True)).alias("first"))
+    return profile.join(known, "digest", "left").select(
+        "id", "doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("c", "doc")).alias("component"),
+        F.expr("doc is null or c is null or (first and doc = c)").alias("stands"),
+    )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one with the least id. Rows without an id stay."""
-    profile, found = NgramJoin(docs, id_col, text_col, n, percent).run()
-    dropped = _labelled(profile, found).where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """docs with one document of each component: the one with the least id. Rows without an id stay.
+
+    Rows are dropped by class: another text of the least id goes if it is a near copy, and stays if it isn't.
+    """
+    join = NgramJoin(docs, id_col, text_col, n, percent)
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    dropped = _labelled(*join.run()).where("not stands").select(F.col("id").alias(key)).distinct()
+    return docs.withColumn(key, _key(join.salt, id_col, text_col)).join(dropped, key, "left_anti").select(*docs.columns)

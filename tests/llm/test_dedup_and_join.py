@@ -128,6 +128,35 @@ def test_join_edges(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "None"]
 
 
+def test_one_id_on_several_texts(spark):
+    words = lambda a: [f"{a}{k}" for k in range(60)]
+    text = lambda a, *more: " ".join([*words(a), *more])
+    rows = [(1, text("a")), (7, text("a", "end")), (7, text("b")), (8, text("b", "end")), (9, text("a", "last")), (7, "alone on this id"), (7, None)]
+    rows += [(20, text("c")), (20, text("c", "end")), (21, text("c").upper()), (None, text("c")), (30, text("d")), (30, text("d"))]
+    df = spark.createDataFrame([(*r, "en") for r in rows], DOCS).withColumn("_key", F.lit(1))
+    sets = brute_sets(dict(enumerate(t for _, t in rows)))
+    known = [k for k in sets if rows[k][0] is not None]
+    links = [(a, b) for a in known for b in known if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    group = least_reachable(sets, links)
+    least = lambda k: min((rows[j][0] for j in known if group[j] == group[k]), default=None)
+    got = sorted(map(tuple, ngram_join.links(df).collect()), key=str)
+    assert got == sorted(((i, len(sets[k]), None if i is None else least(k)) for k, (i, _) in enumerate(rows)), key=str)
+    kept = ngram_join.dedup(df)
+    assert kept.columns == df.columns
+    stay = {0, 2, 5, 6, 10, 11, 12}
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    one = [x for x in left if x[0] != 20]  # of the near copies on one id one stays
+    assert one == sorted((rows[k] for k in stay), key=str) and len(left) == len(one) + 1
+
+
+def test_equal_keys_are_salted_anew(spark, monkeypatch):
+    whole = ngram_join._key
+    monkeypatch.setattr(ngram_join, "_key", lambda salt, *cols: whole(salt, *cols) if salt else F.pmod(whole(0, *cols), F.lit(8)))
+    base = [f"w{k}" for k in range(60)]
+    texts = dict(enumerate([*near_copies(random.Random(6), base, 12, 0.01), *(f"text {k}" for k in range(20))]))
+    assert joined(spark, texts) == brute_join(texts)
+
+
 def brute_copies(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
