@@ -5,55 +5,69 @@ x <= y are similar when ``(100 + T) * common >= T * (x + y)`` (Jaccard >= T / 10
 integers). The steps (after Xiao et al., "Efficient Similarity Joins for Near Duplicate
 Detection", 2008):
 
-1. **profile**: sizes, a 128-bit digest of each set, and a count of all n-grams of all
-   documents in 2 ** 20 counters. The counters order the n-grams from rare to frequent;
-   they are the only thing that is broadcast, and their size is fixed. Any total order
-   gives right results, so counters shared by several n-grams cost speed at most.
-   Documents with equal sets are one *class* from here on; the row of its least id stands
-   for it, by a 64-bit key of (id, text): an id can stand on several texts, and is a name only.
-2. **postings**: of each set only its prefix, by that order. Sizes x need the first
-   ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the first
-   ``x - ceil(t x) + 1`` against shorter ones. Beside the length and positional filters, a
-   bitmap filter (Sandes et al., "Bitmap Filter", 2020) holds back pairs early: 256 parities
-   of each set, of which no more can differ than n-grams do.
-3. **lists**: n-grams in the prefixes of two or more documents. In the first round every
-   class of a list is paired with one *anchor* of the list, and what has been verified
-   becomes links. Then the classes outside a list's largest component are paired with an
-   anchor of that component, and in the last round, when few components are left, with an
-   anchor of each other component; classes that are connected already need no further pair.
-   Thousands of near copies thus cost a few pairs each and not a pair for every two of them.
-4. **rest**: for lists that still join several components, every pair between different
-   components, reached from the members outside the list's largest component. This step
-   leaves out nothing that the filters let pass: rounds only make it small, and they end
-   early where little is left. Here all n-grams that two prefixes share are known, and
-   their number bounds the intersection as well.
-5. **verify**: each pair once, by the suffix filter (the sets' sizes between fixed pivots
+1. **marks**: an n-gram that stands in one document only joins nothing, and a set whose
+   n-grams are repeated for less than T per cent has no partner at all. One pass over the
+   texts sends a 32-bit fingerprint of each n-gram, once from each group of documents, to one
+   of ``buckets`` tables; what comes back is how many of its n-grams each document shares.
+   Fingerprints that are equal by chance let a document pass in vain, never the reverse.
+   The buckets are as many as the text is long, nothing of them is broadcast, and an n-gram
+   that half of all documents hold costs one entry of each group.
+2. **classes**: of what is left, documents with equal sets are one *class*; the row of its
+   least id stands for it, by a 64-bit key of (id, text): an id can stand on several texts,
+   and is a name only.
+3. **postings**: exact frequencies of the classes' n-grams order them from rare to frequent;
+   sets are judged by their repeated n-grams once more, and of each only the prefix is kept.
+   Sizes x need the first ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the
+   first ``x - ceil(t x) + 1`` against shorter ones; n-grams of one class come first and join
+   nothing. Beside the length and positional filters, a bitmap filter (Sandes et al., "Bitmap
+   Filter", 2020) holds back pairs early: 256 parities of each set, of which no more can
+   differ than n-grams do.
+4. **lists**: n-grams in the prefixes of two or more classes. In the first round every class
+   of a list is paired with one *anchor* of the list, and what has been verified becomes
+   links. Then the classes outside a list's largest component are paired with an anchor of
+   that component; classes that are connected already need no further pair. Thousands of near
+   copies thus cost a few pairs each and not a pair for every two of them.
+5. **rest**: for lists that still join several components, every pair between different
+   components, reached from the members outside the list's largest component. Sizes are part
+   of the join's key, by bands that are as wide as the length filter. This step leaves out
+   nothing that the filters let pass: rounds only make it small, and they end early where
+   little is left. Here all n-grams that two prefixes share are known, and their number
+   bounds the intersection as well.
+6. **verify**: each pair once, by the suffix filter (the sets' sizes between fixed pivots
    bound their difference) and then by the exact intersection.
 
 A false equality of two hashes within one pair has a probability below
 ``(x + y) ** 2 / 2 ** 64``. A null text is an empty text: no n-gram, no link. A text with
 fewer words than n has its whole sequence as its only n-gram. A null id links with nothing
 and has a null component. Repeated ids are judged row by row. Extra columns are ignored. Keys
-are salted anew until no two rows of one key differ in id or set.
+are salted anew until no two rows of one key differ in id or set. An empty table gives an
+empty result; a very long text is one group of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractlog.llm.common import Scratch, filter_bits, maybe_member, membership
+from contractlog.llm.common import MOST_FILTER_BITS, Scratch, filter_bits, maybe_member, membership
 from contractlog.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the rare-first order, and how many of them one row of the profile holds.
-COUNTERS = 1 << 20
-CHUNK = 1 << 14
+#: Text whose marks are gathered before they are sent, and text for each bucket of marks: what a task holds of either.
+GROUP_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 24
+LEAST_BUCKETS = 8
+#: Documents of a group at most: they are numbered in 16 bits, of which the last number says "several". Marks in one row.
+SEVERAL = (1 << 16) - 1
+MARKS_IN_ROW = 1 << 12
 #: Rounds of anchors at most before the exact rest; pairs of the rest, as a multiple of the lists' length, that need no further round.
 ROUNDS = 3
 EASY_REST = 2
@@ -135,132 +149,214 @@ def _texts(batches, n: int):
         yield from zip(batch.column(0).to_pylist(), shingle(batch.column(1)))
 
 
-PROFILE = "id long, doc long, n long, digest binary, w0 long, w1 long, w2 long, w3 long, chunk int, counts binary"
-PROFILE_NAMES = ["id", "doc", "n", "digest", *BITMAP, "chunk", "counts"]
-
-
 def _parities(s: np.ndarray) -> np.ndarray:
     """Of each of 256 buckets whether it holds an odd number of the n-grams, as four integers."""
     odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profile(n: int):
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.int32)
-        ids, docs, sizes, digests, bitmaps = [], [], [], [], []
-        shingle = Shingler(n)
+#: A row is a document (the columns from id on) or marks of a group in a bucket (prints and who).
+MARKS = "bucket int, grp long, prints binary, who binary, id long, doc long, n long, digest binary, at int, own long"
+_MARKS = pa.schema([
+    ("bucket", pa.int32()), ("grp", pa.int64()), ("prints", pa.binary()), ("who", pa.binary()), ("id", pa.int64()),
+    ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("at", pa.int32()), ("own", pa.int64()),
+])
+
+
+def _batch(rows: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """The columns that are given, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+class _Group:
+    """Documents whose marks are sent together: an n-gram that several of them hold is sent once."""
+
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
+        self.ids, self.docs, self.sizes, self.digests, self.sets, self.sent_by = [], [], [], [], [], []
+
+    def add(self, i, doc, s: np.ndarray) -> None:
+        if doc is not None and len(s):
+            self.sent_by.append(len(self.ids))
+            self.sets.append(s)
+        self.ids.append(i)
+        self.docs.append(doc)
+        self.sizes.append(len(s))
+        self.digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+
+    def batches(self):
+        own = np.zeros(len(self.ids), np.int64)
+        if self.sets:
+            h = np.concatenate(self.sets)
+            who = np.repeat(np.array(self.sent_by, np.uint16), [len(s) for s in self.sets])
+            order = np.argsort(h, kind="stable")
+            h, who = h[order], who[order]
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            starts = np.flatnonzero(first)
+            several = np.diff(np.append(starts, len(h))) > 1
+            own += np.bincount(who[np.repeat(several, np.diff(np.append(starts, len(h))))], minlength=len(own))
+            h, who = h[starts], np.where(several, np.uint16(SEVERAL), who[starts])
+            bucket = (h & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
+            order = np.argsort(bucket << np.uint64(16) | who, kind="stable")
+            bucket, who, prints = bucket[order], who[order], (h[order] >> np.uint64(32)).astype(np.uint32)
+            edges = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
+            cuts = [(k, at, min(at + MARKS_IN_ROW, int(edges[k + 1]))) for k in range(self.buckets) for at in range(int(edges[k]), int(edges[k + 1]), MARKS_IN_ROW)]
+            for some in (cuts[k : k + 256] for k in range(0, len(cuts), 256)):
+                yield _batch(
+                    len(some), _MARKS, bucket=[k for k, _, _ in some], grp=[self.number] * len(some),
+                    prints=[prints[a:b].tobytes() for _, a, b in some], who=[who[a:b].tobytes() for _, a, b in some],
+                )
+        at = np.arange(len(self.ids), dtype=np.int32)
+        yield _batch(
+            len(self.ids), _MARKS, bucket=at % self.buckets, grp=[self.number] * len(self.ids),
+            id=self.ids, doc=self.docs, n=self.sizes, digest=self.digests, at=at, own=own,
+        )
 
-        def rows():
-            none = pa.nulls(len(ids))
-            words = np.array(bitmaps, np.int64).reshape(-1, len(BITMAP)).T
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                    *(pa.array(np.ascontiguousarray(w)) for w in words), none.cast(pa.int32()), none.cast(pa.binary()),
-                ],
-                PROFILE_NAMES,
-            )
 
+def _marks(n: int, buckets: int):
+    """Rows of MARKS of texts (id, text, doc)."""
+
+    def run(batches):
+        shingle, made = Shingler(n), TaskContext.get().partitionId() << 32
+        group, held = _Group(made, buckets), 0
         for batch in _slices(batches):
             for i, doc, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle(batch.column(1))):
-                np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                ids.append(i)
-                docs.append(doc)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bitmaps.append(_parities(s))
-                if len(ids) >= 8192:
-                    yield rows()
-                    ids, docs, sizes, digests, bitmaps = [], [], [], [], []
-        yield rows()
-        chunks = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
-        none = pa.nulls(len(chunks))
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(none.cast(pa.int64()) for _ in range(3)), none.cast(pa.binary()), *(none.cast(pa.int64()) for _ in BITMAP),
-                pa.array(chunks, pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks], pa.binary()),
-            ],
-            PROFILE_NAMES,
-        )
+                group.add(i, doc, s)
+                if len(group.ids) == SEVERAL:
+                    yield from group.batches()
+                    made, held = made + 1, 0
+                    group = _Group(made, buckets)
+            held += batch.column(1).nbytes
+            if held >= GROUP_BYTES:
+                yield from group.batches()
+                made, held = made + 1, 0
+                group = _Group(made, buckets)
+        yield from group.batches()
 
     return run
 
 
-def _summed(batches):
-    total: dict[int, np.ndarray] = {}
+def _of_several(rows: list[tuple[int, np.ndarray, np.ndarray]]):
+    """(group, who) of the marks of one bucket that several documents hold, but for those that a group has counted itself."""
+    prints = np.concatenate([p for _, p, _ in rows])
+    order = np.argsort(prints, kind="stable")
+    prints = prints[order]
+    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    several = np.concatenate([w for _, _, w in rows]) == SEVERAL
+    shared = (np.diff(np.append(starts, len(prints))) > 1) | np.logical_or.reduceat(several[order], starts)
+    flags = np.empty(len(prints), bool)
+    flags[order] = np.repeat(shared, np.diff(np.append(starts, len(prints))))
+    flags &= ~several
+    at = 0
+    for grp, p, w in rows:
+        found = w[flags[at : at + len(p)]]
+        at += len(p)
+        if len(found):
+            yield grp, found.tobytes()
+
+
+def _shared(batches):
+    """Rows of MARKS in order of their buckets, with who naming each document once for each n-gram that it shares."""
+
+    def settled(rows):
+        found = list(_of_several(rows))
+        for some in (found[k : k + 256] for k in range(0, len(found), 256)):
+            yield _batch(len(some), _MARKS, grp=[g for g, _ in some], who=[w for _, w in some])
+
+    rows, last = [], None
     for batch in batches:
-        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            part = np.frombuffer(counts.as_py(), np.int32)
-            if chunk in total:
-                total[chunk] += part
-            else:
-                total[chunk] = part.astype(np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"]
-    )
+        marks = batch.column(2).is_valid()
+        docs = batch.filter(pc.invert(marks))
+        if docs.num_rows:
+            yield docs
+        batch = batch.filter(marks)
+        for bucket, grp, prints, who in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if bucket != last and rows:
+                yield from settled(rows)
+                rows = []
+            last = bucket
+            rows.append((grp, np.frombuffer(prints.as_py(), np.uint32), np.frombuffer(who.as_py(), np.uint16)))
+    if rows:
+        yield from settled(rows)
 
 
-def frequency_classes(profile: DataFrame) -> np.ndarray:
-    """Of each counter the logarithm of its count, in 16 bits: 2 MB at any input size."""
-    parts = (
-        profile.where("chunk is not null").select("chunk", "counts").repartition(COUNTERS // CHUNK, "chunk")
-        .mapInArrow(_summed, "chunk int, counts binary").collect()
-    )
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in parts:
-        counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(row.counts, np.int64)
-    return (np.log2(counts + 1.0) * 1024).astype(np.uint16)
+PROFILE = "id long, doc long, n long, digest binary, maybe boolean"
 
 
-def _ceil(a, b: int):
-    return -(-a // b)
+def _judged(percent: int):
+    """Rows of _shared, group by group and marks before documents, as the profile of the documents."""
 
+    def run(batches):
+        grp, counts = None, np.zeros(SEVERAL, np.int64)
+        for batch in batches:
+            groups = np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]])) if len(groups) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if groups[a] != grp:
+                    grp, counts = groups[a], np.zeros(SEVERAL, np.int64)
+                part = batch.slice(a, b - a)
+                marks = part.column(3).is_valid()
+                for who in part.column(3).filter(marks).to_pylist():
+                    counts += np.bincount(np.frombuffer(who, np.uint16), minlength=SEVERAL)
+                docs = part.filter(pc.invert(marks))
+                if docs.num_rows:
+                    n = np.asarray(docs.column(6))
+                    shared = np.asarray(docs.column(9)) + counts[np.asarray(docs.column(8))]
+                    maybe = (n > 0) & (100 * shared >= percent * n) & np.asarray(docs.column(5).is_valid())
+                    yield pa.RecordBatch.from_arrays([docs.column(k) for k in (4, 5, 6, 7)] + [pa.array(maybe)], ["id", "doc", "n", "digest", "maybe"])
 
-POSTINGS = "h long, id long, n int, pos int"
+    return run
 
 
-def _postings(n: int, percent: int, order):
-    def run(batches):
-        freq = order.value
-        out, held = [], 0
+def _ceil(a, b: int):
+    return -(-a // b)
 
-        def flush():
-            cols = [np.concatenate(x) for x in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "n", "pos"])
 
-        for i, s in _texts(batches, n):
-            if not len(s):
-                continue
-            size = len(s)
-            prefix = size - _ceil(percent * size, 100) + 1
-            rare = s[np.argsort(freq[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:prefix]]
-            out.append((rare.view(np.int64), np.full(prefix, i, np.int64), np.full(prefix, size, np.int32), np.arange(1, prefix + 1, dtype=np.int32)))
-            held += prefix
-            if held >= BATCH_ROWS:
-                yield flush()
-                out, held = [], 0
-        if out:
-            yield flush()
-
-    return run
+SETS = "id long, n long, w0 long, w1 long, w2 long, w3 long, s binary"
 
 
 def _sets(n: int):
+    """Rows of SETS of texts (id, text)."""
+
     def run(batches):
         ids, sets, held = [], [], 0
+
+        def rows():
+            words = np.array([_parities(s) for s in sets], np.int64).reshape(-1, len(BITMAP)).T
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    *(pa.array(np.ascontiguousarray(w)) for w in words), pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["id", "n", *BITMAP, "s"],
+            )
+
         for i, s in _texts(batches, n):
             ids.append(i)
-            sets.append(s.tobytes())
+            sets.append(s)
             held += len(s)
             if held >= BATCH_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "s"])
+                yield rows()
                 ids, sets, held = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "s"])
+        yield rows()
 
     return run
 
 
+def _ngrams(batches):
+    """(h, id, n) of each n-gram of sets (id, n, s)."""
+    for batch in batches:
+        out, held = [], 0
+        for i, n, s in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            out.append((np.frombuffer(s, np.int64), np.full(n, i, np.int64), np.full(n, n, np.int32)))
+            held += n
+            if held >= BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "id", "n"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "id", "n"])
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int, pivots: np.ndarray) -> bool:
     both = len(a) + len(b)
     need = _ceil(percent * both, 100 + percent)
@@ -287,6 +383,10 @@ def _verify(percent: int):
     return run
 
 
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _key(salt: int, id_col: str, text_col: str) -> Column:
     """The key of a row, in 64 bits."""
     return F.xxhash64(F.lit(salt), F.col(id_col).cast("long"), F.col(text_col))
@@ -298,22 +398,21 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT):
         self.rows = lambda salt: docs.select(_key(salt, id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc"))
         self.n, self.percent, self.scratch = n, percent, Scratch(docs.sparkSession, "ngrams")
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+        self.buckets = LEAST_BUCKETS + size // BUCKET_BYTES
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(profile of every row: key, id, n, digest as id, doc, n, digest), (key of a class's row, component: such a key)."""
-        write, self.salt = self.scratch.write, 0
+        self.salt = 0
         while True:
-            rows = self.rows(self.salt)
-            seen = write(rows.mapInArrow(_profile(self.n), PROFILE), f"profile-{self.salt}")
-            profile = seen.where("chunk is null").select("id", "doc", "n", "digest")
+            profile = self._profile()
             other = F.xxhash64("doc", "digest")
             if profile.groupBy("id").agg(F.min(other).alias("x"), F.max(other).alias("y")).where("x <> y").isEmpty():
                 break
             self.salt += 1
-        self.docs = rows.where("doc is not null").select("id", "text")
-        least = seen.where("digest is not null and doc is not null").groupBy("digest").agg(F.min(F.struct("doc", "id", *BITMAP)).alias("rep"))
-        self.reps = write(least.select("rep.id", *(f"rep.{w}" for w in BITMAP)), "classes")
-        lists = self._lists(frequency_classes(seen))
+        self.scratch.tidy()
+        self._classes(profile.where("maybe"))
+        lists = self._lists()
         self.scratch.tidy()
         self.found = None
         for k in range(ROUNDS):
@@ -326,25 +425,52 @@ class NgramJoin:
         self._connect(self._rest(lists), ROUNDS)
         return profile, self.found
 
+    def _profile(self) -> DataFrame:
+        """Rows of PROFILE, one of each document; maybe: enough of its n-grams stand in other documents too."""
+        marks = self.rows(self.salt).mapInArrow(_marks(self.n, self.buckets), MARKS)
+        shared = marks.repartition(self.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, MARKS)
+        shared = shared.repartition(self.buckets, "grp").sortWithinPartitions("grp", F.col("who").isNull())
+        return self.scratch.write(shared.mapInArrow(_judged(self.percent), PROFILE), f"profile-{self.salt}")
+
     def _connect(self, pairs: DataFrame, k: int) -> None:
         """Verify pairs and join what their links connect; each node's link to its least one stands for earlier links."""
         links = self.scratch.write(self._verified(pairs, k), f"links-{k}")
-        self.scratch.forget(f"pairs-{k}", f"ids-{k}", f"sets-{k}")
+        self.scratch.forget(f"pairs-{k}")
         if self.found is not None:
             links = links.unionByName(self.found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.found = components(links, self.scratch, f"cc-{k}")
         self.scratch.tidy()
 
-    def _lists(self, freq: np.ndarray) -> DataFrame:
-        """Postings of the n-grams that stand in the prefixes of two classes or more."""
-        order = self.docs.sparkSession.sparkContext.broadcast(freq)
-        postings = self.scratch.write(self.docs.mapInArrow(_postings(self.n, self.percent, order), POSTINGS), "postings")
-        shared = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-        found = self.scratch.write(postings.join(shared, "h"), "shared")
+    def _classes(self, found: DataFrame) -> None:
+        """The set of each class, by the key that stands for it."""
+        reps = found.groupBy("digest").agg(F.min(F.struct("doc", "id")).alias("rep")).select("rep.id")
+        reps = self.scratch.write(reps, "classes")
+        docs, count = self.rows(self.salt).select("id", "text"), reps.count()
+        if 8 * count <= MOST_FILTER_BITS:  # beyond that the filter would let too many pass, and texts are shuffled
+            bits = filter_bits(count)
+            docs = maybe_member(docs, "id", membership(reps, "id", bits), bits).where("maybe").select("id", "text")
+            sets = docs.mapInArrow(_sets(self.n), SETS).join(reps, "id", "left_semi")
+        else:
+            sets = docs.join(reps, "id", "left_semi").mapInArrow(_sets(self.n), SETS)
+        self.sets = self.scratch.write(sets.dropDuplicates(["id"]), "sets")
+        self.scratch.tidy()
+
+    def _lists(self) -> DataFrame:
+        """Prefix postings of the n-grams that stand in the prefixes of two classes or more."""
         p = self.percent
-        listed = found.join(self.reps, "id").withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
+        ngrams = self.sets.select("id", "n", "s").mapInArrow(_ngrams, "h long, id long, n int")
+        often = ngrams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        shared = ngrams.join(often, "h")
+        of = Window.partitionBy("id")
+        ranked = shared.withColumn("nth", F.row_number().over(of.orderBy("c", "h"))).withColumn("all", F.count("*").over(of))
+        ranked = ranked.where(f"100L * all >= {p}L * n").withColumn("pos", F.expr("cast(n - all + nth as int)"))
+        prefix = ranked.where(f"pos <= n - ceil({p} * n / 100) + 1").select("h", "id", "n", "pos")
+        prefix = self.scratch.write(prefix, "prefix")
+        several = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+        listed = prefix.join(several, "h").join(self.sets.select("id", *BITMAP), "id")
+        listed = listed.withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
         listed = self.scratch.write(listed.withColumn("comp", F.col("id")), "lists")
-        self.scratch.forget("postings", "shared")
+        self.scratch.forget("prefix")
         self.listed = listed.count()
         return listed
 
@@ -358,22 +484,26 @@ class NgramJoin:
             f" and {' + '.join(f'bit_count({w} ^ {w}2)' for w in BITMAP)} <= n + n2 - 2 * ceil({p} * (n + n2) / {100 + p})"
         )
 
+    def _band(self) -> Column:
+        """Sizes that the length filter lets meet lie in one band or in neighbouring ones."""
+        width = math.log(100 / self.percent) * 1.000001 if self.percent < 100 else math.log(2)
+        return F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+
     @staticmethod
-    def _other(lists: DataFrame) -> DataFrame:
-        return lists.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "early", "comp", *BITMAP)))
+    def _other(lists: DataFrame, *more: str) -> DataFrame:
+        return lists.select("h", *more, *(F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "early", "comp", *BITMAP)))
 
     @staticmethod
     def _pairs(joined: DataFrame) -> DataFrame:
         return joined.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
     def _anchored(self, lists: DataFrame, k: int) -> DataFrame:
-        """Each class of a list with the list's anchor; later those outside its largest component with an anchor of that, at last of each."""
+        """Each class of a list with the list's anchor; later those outside its largest component with an anchor of that."""
         rank = F.xxhash64("id", F.lit(k), *(["h"] if k else []))
         one = F.min(F.struct(rank.alias("r"), "id", "n", "pos", "early", "comp", *BITMAP)).alias("one")
         if k:
             lists = lists.join(self.tops.select("h", "top"), "h")
-            among = lists if k == ROUNDS - 1 else lists.where("comp = top")
-            anchors, lists = among.groupBy("h", F.col("comp").alias("of")).agg(one), lists.where("comp <> top")
+            anchors, lists = lists.where("comp = top").groupBy("h").agg(one), lists.where("comp <> top")
         else:
             anchors = lists.groupBy("h").agg(one)
         anchors = self._other(anchors.select("h", "one.*"))
@@ -396,8 +526,10 @@ class NgramJoin:
         A pair meets in every list of an n-gram that both prefixes hold, up to the last one that
         the positional filter lets pass; what follows that one is at most the shorter remainder.
         """
+        lists = lists.withColumn("band", self._band())
         few = lists.join(self.tops.select("h", "top"), "h").where("comp <> top")
-        met = few.join(self._other(lists), "h").where(
+        few = few.withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
+        met = few.join(self._other(lists, "band"), ["h", "band"]).where(
             (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("id") < F.col("id2"))) & self._close()
         )
         pairs = met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(
@@ -406,13 +538,7 @@ class NgramJoin:
         return pairs.where(f"{100 + self.percent} * (met + more) >= {self.percent} * both").select("a", "b")
 
     def _verified(self, pairs: DataFrame, k: int) -> DataFrame:
-        pairs = self.scratch.write(pairs, f"pairs-{k}")
-        ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = self.scratch.write(ids, f"ids-{k}")
-        bits = filter_bits(ids.count())
-        near = maybe_member(self.docs, "id", membership(ids, "id", bits), bits).where("maybe")
-        sets = near.select("id", "text").mapInArrow(_sets(self.n), "id long, s binary")
-        sets = self.scratch.write(sets.join(ids, "id", "left_semi"), f"sets-{k}")
+        pairs, sets = self.scratch.write(pairs, f"pairs-{k}"), self.sets.select("id", "s")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
         return both.select("a", "b", "s1", "s2").mapInArrow(_verify(self.percent), "a long, b long")
 
@@ -447,4 +573,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     while key in docs.columns:
         key += "_"
     dropped = _labelled(*join.run()).where("not stands").select(F.col("id").alias(key)).distinct()
-    return docs.withColumn(key, _key(join.salt, id_col, text_col)).join(dropped, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, _key(join.salt, id_col, text_col)).join(dropped, key, "left_anti").select(*(_named(c) for c in docs.columns))
