@@ -4,14 +4,19 @@ A parsed record is a variant column. For each field there are two expressions, b
 whole-stage code: ``value`` (the coerced value, the default where the field is absent) and
 ``errors`` (an array of ``"name: message"``, empty when the field is right). Absent means
 that the path gives SQL NULL; an explicit null is a variant null.
+
+``spread`` lays a record out in three projections, each of which computes a thing once: the
+fields' variants, their kinds and texts, and what they are coerced to. All messages, keys and
+canonical records are then small expressions over these columns.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,19 +40,25 @@ WRONG = {
     "list": "Input should be a valid list",
     "dict": "Input should be a valid dictionary",
 }
+INT_LONG = "Input should be a valid integer, of 64 bits at most"
 INT_TEXT, INT_FRACTION = "Input should be a valid integer, unable to parse string as an integer", "Input should be a valid integer, got a number with a fractional part"
 FLOAT_TEXT = "Input should be a valid number, unable to parse string as a number"
 BOOL_TEXT = "Input should be a valid boolean, unable to interpret input"
 EMAIL_TEXT = "value is not a valid email address"
 REQUIRED, FORBIDDEN = "Field required", "Extra inputs are not permitted"
 
-INT_RE = r"^\s*[+-]?[0-9]+(\.0*)?\s*\z"
-FLOAT_RE = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*\z|^\s*[+-]?(inf|infinity|nan)\s*\z"
+INT_RE = r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0*)?\s*\z"
+FLOAT_RE = r"(?i)^\s*[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?\s*\z|^\s*[+-]?(inf|infinity|nan)\s*\z"
 UUID_RE = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\z"
 EMAIL_RE = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]([A-Za-z0-9-]*[A-Za-z0-9])?\z"
 ZONE = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})?"
 DATETIME_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([Tt _][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?" + ZONE + r")?\z"
 DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+#: Numbers beyond this are milliseconds, others seconds.
+MILLISECONDS_FROM = 20_000_000_000
+#: The moments that can be written with four digits of a year.
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+NUMBER_TEXT_RE = r"^[+-]?[0-9]+(\.[0-9]+)?\z"
 TIME_RE = r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?" + ZONE + r"\z"
 
 
@@ -62,13 +73,35 @@ def part(rec: Column, name: str) -> Column:
 
 def kind_of(v: Column) -> Column:
     """STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN, OBJECT, ARRAY or VOID."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def text_of(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+class Seen(NamedTuple):
+    """A value with its kind and text; and, where it is settled already, what it is coerced to and what is wrong with it."""
+
+    v: Column
+    kind: Column
+    text: Column
+    fit: tuple[Column, Column] | None = None
+
+
+def seen(v: Column) -> Seen:
+    return Seen(v, kind_of(v), text_of(v))
+
+
+def settled(c: Column) -> Column:
+    """The column, computed once where it stands: filters above aren't copied below it.
+
+    Contract expressions are large; copied into every filter and projection that needs a part
+    of them, they would be planned and evaluated many times over.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _number(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
@@ -78,9 +111,35 @@ def anchored(pattern: str) -> str:
     return pattern[:-1] + r"\z" if re.search(r"(?<!\\)(\\\\)*\$\Z", pattern) else pattern
 
 
-def typed(kind: Kind, v: Column) -> tuple[Column, Column]:
+def _moment(number: Column) -> Column:
+    """Microseconds since 1970 of a number of seconds or milliseconds, or NULL."""
+    seconds = F.when(F.abs(number) > MILLISECONDS_FROM, number / 1000).otherwise(number)
+    return F.when((seconds >= FIRST_SECOND) & (seconds <= LAST_SECOND), F.round(seconds * 1000000).try_cast("long"))
+
+
+def _spelt(micros: Column, pattern: str) -> Column:
+    """A moment by a pattern, with its fraction if it has one, in UTC."""
+    at, part = F.timestamp_micros(micros), F.pmod(micros, F.lit(1000000))
+    fraction = F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise("")
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern), fraction, F.lit("Z"))
+
+
+def _clock(text: Column) -> Column:
+    """A time of day or what ends with one: seconds added, fractions of six digits or none, zones as Z or +hh:mm."""
+    out = F.regexp_replace(text, r"z\z", "Z")
+    out = F.regexp_replace(out, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
+    out = F.regexp_replace(out, r"[+-]00:00\z", "Z")
+    out = F.regexp_replace(out, r"((?:^|T)[0-9]{2}:[0-9]{2})(Z|[+-].*)?\z", "$1:00$2")
+    fraction = F.regexp_extract(out, r"\.([0-9]+)", 1)
+    six = F.rpad(F.left(fraction, F.lit(6)), 6, "0")
+    return F.when(fraction == "", out).when(six == "000000", F.regexp_replace(out, r"\.[0-9]+", "")).otherwise(
+        F.concat(F.substring_index(out, ".", 1), F.lit("."), six, F.regexp_extract(out, r"\.[0-9]+(.*)\z", 1))
+    )
+
+
+def typed(kind: Kind, given: Column | Seen) -> tuple[Column, Column]:
     """(value, message): of a present, non-null variant; the message is null if it fits."""
-    k, s = kind_of(v), text_of(v)
+    v, k, s, _ = given if isinstance(given, Seen) else seen(given)
     is_text, is_num = k == "STRING", k.isin("DOUBLE", "DECIMAL", "FLOAT")
     none = F.lit(None).cast("string")
     wrong = F.lit(WRONG.get(kind.name, ""))
@@ -92,14 +151,16 @@ def typed(kind: Kind, v: Column) -> tuple[Column, Column]:
     if name == "str":
         return s, F.when(~is_text, wrong)
     if name == "int":
-        whole = F.when(k == "BIGINT", F.try_variant_get(v, "$", "long")).when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
-        whole = whole.when(is_num & (_number(v) == F.floor(_number(v))), _number(v).cast("long"))
-        whole = whole.when(is_text & s.rlike(INT_RE), F.regexp_replace(F.trim(s), r"\.0*\z", "").try_cast("long"))
-        bad = F.when(is_text & whole.isNull(), F.lit(INT_TEXT)).when(is_num & whole.isNull(), F.lit(INT_FRACTION)).when(whole.isNull(), wrong)
+        plain = F.regexp_replace(F.regexp_replace(F.trim(s), r"\.0*\z", ""), "_", "")
+        no_fraction = is_num & (_number(v) == F.floor(_number(v)))
+        whole = F.when((k == "BIGINT") | no_fraction, F.try_variant_get(v, "$", "long")).when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
+        whole = whole.when(is_text & s.rlike(INT_RE), plain.try_cast("long"))
+        long = no_fraction | (is_text & s.rlike(INT_RE))
+        bad = F.when(whole.isNotNull(), none).when(long, F.lit(INT_LONG)).when(is_text, F.lit(INT_TEXT)).when(is_num, F.lit(INT_FRACTION)).otherwise(wrong)
         return whole, bad
     if name == "float":
         value = F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), _number(v)).when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-        value = value.when(is_text & s.rlike(FLOAT_RE), F.trim(s).try_cast("double"))
+        value = value.when(is_text & s.rlike(FLOAT_RE), F.regexp_replace(F.trim(s), "_", "").try_cast("double"))
         return value, F.when(is_text & value.isNull(), F.lit(FLOAT_TEXT)).when(value.isNull(), wrong)
     if name == "bool":
         low = F.lower(s)
@@ -116,26 +177,24 @@ def typed(kind: Kind, v: Column) -> tuple[Column, Column]:
         plain = F.lower(F.replace(s, F.lit("-"), F.lit("")))
         shown = F.concat_ws("-", *(F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
         return shown, F.when(~is_text | ~s.rlike(UUID_RE), wrong)
-    seconds = k.isin("BIGINT", "DOUBLE", "DECIMAL") | (is_text & s.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z"))
-    number = F.coalesce(_number(v), s.try_cast("double"))
+    number = F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL"), _number(v)).when(is_text & s.rlike(NUMBER_TEXT_RE), s.try_cast("double"))
     if name == "datetime":
-        moment = F.date_format(F.timestamp_micros((number * 1000000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        given = F.regexp_replace(F.regexp_replace(s, r"^(.{10})[ _t]", "$1T"), r"([0-9])z\z", "$1Z")
-        given = F.when(F.length(given) == 10, F.concat(given, F.lit("T00:00:00"))).otherwise(F.regexp_replace(given, r"(T[0-9]{2}:[0-9]{2})(Z|[+-].*)?\z", "$1:00$2"))
-        given = F.regexp_replace(given, r"([+-]00:?00)\z", "Z")
+        given = F.regexp_replace(s, r"^(.{10})[ _t]", "$1T")
+        given = F.when(F.length(given) == 10, F.concat(given, F.lit("T00:00:00"))).otherwise(_clock(given))
         fine = is_text & s.rlike(DATETIME_RE) & F.try_to_timestamp(F.substring(given, 1, 19)).isNotNull()
-        return F.when(seconds, moment).when(fine, given), F.when(~seconds & ~F.coalesce(fine, F.lit(False)), wrong)
-    if name == "date":
+        value = F.when(number.isNotNull(), _spelt(_moment(number), "yyyy-MM-dd'T'HH:mm:ss")).when(fine, given)
+    elif name == "date":
         day = F.regexp_replace(s, r"[Tt ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?\z", "")
         fine = is_text & day.rlike(DATE_RE) & day.try_cast("date").isNotNull()
-        return F.when(fine, day), F.when(~F.coalesce(fine, F.lit(False)), wrong)
-    if name == "time":
-        clock = F.date_format(F.timestamp_micros((number * 1000000).cast("long")), "HH:mm:ss'Z'")
-        in_day = seconds & (number >= 0) & (number < 86400)
-        fine = is_text & s.rlike(TIME_RE)
-        given = F.regexp_replace(s, r"^([0-9]{2}:[0-9]{2})(Z|[+-].*)?\z", "$1:00$2")
-        return F.when(in_day, clock).when(fine, given), F.when(~in_day & ~F.coalesce(fine, F.lit(False)), wrong)
-    raise AssertionError(name)
+        at = _moment(number)
+        midnight = F.pmod(at, F.lit(86400 * 1000000)) == 0
+        value = F.when(midnight, F.left(_spelt(at, "yyyy-MM-dd"), F.lit(10))).when(fine, day)
+    elif name == "time":
+        in_day = (number >= 0) & (number < 86400)
+        value = F.when(in_day, _spelt(_moment(number), "HH:mm:ss")).when(is_text & s.rlike(TIME_RE), _clock(s))
+    else:
+        raise AssertionError(name)
+    return value, F.when(value.isNull(), wrong)
 
 
 def _member(kind: Kind, v: Column, k: Column, s: Column) -> tuple[Column, Column]:
@@ -204,54 +263,98 @@ def _said(name: str, message: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), message)
 
 
-def field_columns(f: Field, rec: Column) -> tuple[Column, Column]:
-    """(value, errors array) of a field of the record."""
-    v = part(rec, f.name)
-    absent, null = v.isNull(), F.is_variant_null(v)
+def _list_fit(f: Field, s: Seen) -> tuple[Column, Column]:
+    """(items coerced, messages of items that don't fit) of a list; both null if it isn't one."""
+    is_list, items = s.kind == "ARRAY", F.try_variant_get(s.v, "$", "array<variant>")
+    none = F.lit(None).cast("string")
+
+    def fault(x, i):
+        if f.kind.items.name == "any":
+            return none
+        wrong = F.lit(WRONG.get(f.kind.items.name, "Input should be valid"))
+        said = F.when(x.isNull() | F.is_variant_null(x), wrong).otherwise(typed(f.kind.items, x)[1])
+        return F.concat(F.lit(f"{f.name}."), i.cast("string"), F.lit(": "), said)
+
+    return F.when(is_list, F.transform(items, lambda x: typed(f.kind.items, x)[0])), F.when(is_list, F.array_compact(F.transform(items, fault)))
+
+
+def fit_of(f: Field, s: Seen) -> tuple[Column, Column]:
+    """(coerced value, what is wrong with its type) of a present value."""
+    return s.fit or (_list_fit(f, s) if f.kind.name == "list" else typed(f.kind, s))
+
+
+def field_columns(f: Field, rec: Column | Seen) -> tuple[Column, Column]:
+    """(value, errors array) of a field of the record, or of the field's variant as it was seen."""
+    s = rec if isinstance(rec, Seen) else seen(part(rec, f.name))
+    absent, null = s.v.isNull(), F.is_variant_null(s.v)
     empty = F.array().cast("array<string>")
     one = lambda m: F.when(m.isNull(), empty).otherwise(F.array(_said(f.name, m)))
     missing = F.array(F.lit(f"{f.name}: {REQUIRED}")) if f.required else empty
+    value, fault = fit_of(f, s)
     if f.kind.name == "list":
-        items = F.try_variant_get(v, "$", "array<variant>")
-        is_list = kind_of(v) == "ARRAY"
-        void = f.kind.items.name == "any"
-        value = F.when(is_list, F.transform(items, lambda x: typed(f.kind.items, x)[0]))
-        faults = F.transform(
-            items,
-            lambda x, i: F.concat(F.lit(f"{f.name}."), i.cast("string"), F.lit(": "), F.lit(None).cast("string") if void else F.when(x.isNull() | F.is_variant_null(x), F.lit(WRONG.get(f.kind.items.name, "Input should be valid"))).otherwise(typed(f.kind.items, x)[1])),
-        )
-        faults = F.array_compact(faults)
-        errors = F.when(~is_list, F.array(F.lit(f"{f.name}: {WRONG['list']}"))).when(F.size(faults) > 0, faults).otherwise(one(broken_rule(f, value)))
-        wrong_null = empty if f.nullable else F.array(F.lit(f"{f.name}: {WRONG['list']}"))
+        wrong = F.array(F.lit(f"{f.name}: {WRONG['list']}"))
+        errors = F.when(fault.isNull(), wrong).when(F.size(fault) > 0, fault).otherwise(one(broken_rule(f, value)))
+        wrong_null = empty if f.nullable else wrong
     else:
-        value, message = typed(f.kind, v)
-        errors = one(F.coalesce(message, broken_rule(f, value)))
-        wrong_null = empty if f.nullable or f.kind.name == "any" else one(message)
+        errors = one(F.coalesce(fault, broken_rule(f, value)))
+        wrong_null = empty if f.nullable or f.kind.name == "any" else one(fault)
     value = F.when(absent, default_of(f)).when(null, default_of(f) if f.kind.name in ("any", "dict") and f.nullable and f.default is None else F.lit(None).cast(f.kind.spark)).otherwise(value)
     return value, F.when(absent, missing).when(null, wrong_null).otherwise(errors)
 
 
+class Record:
+    """A record's fields: looked up in a variant, or in the columns that spread() has laid out."""
+
+    def __init__(self, rec: Column, fields: dict[str, Seen] | None = None):
+        self.rec, self.fields = rec, fields or {}
+
+    def __getitem__(self, name: str) -> Seen:
+        return self.fields.get(name) or seen(part(self.rec, name))
+
+
+def spread(df: DataFrame, contract: Contract, rec: str = "rec") -> tuple[DataFrame, Record]:
+    """df with the columns _parts, _kinds and _fits, and the record that reads them."""
+    named = list(enumerate(contract.fields))
+    df = df.withColumn("_parts", settled(F.struct(*(part(F.col(rec), f.name).alias(f"v{k}") for k, f in named))))
+    v = lambda k: F.col(f"_parts.v{k}")
+    df = df.withColumn("_kinds", settled(F.struct(*(c for k, _ in named for c in (kind_of(v(k)).alias(f"k{k}"), text_of(v(k)).alias(f"s{k}"))))))
+    plain = {f.name: Seen(v(k), F.col(f"_kinds.k{k}"), F.col(f"_kinds.s{k}")) for k, f in named}
+    made = [c for k, f in named for c in zip(fit_of(f, plain[f.name]), (f"x{k}", f"m{k}"))]
+    df = df.withColumn("_fits", settled(F.struct(*(c.alias(n) for c, n in made))))
+    return df, Record(F.col(rec), {f.name: plain[f.name]._replace(fit=(F.col(f"_fits.x{k}"), F.col(f"_fits.m{k}"))) for k, f in named})
+
+
+SPREAD = ("_parts", "_kinds", "_fits")
+
+
+def _record(rec: Column | Record) -> Record:
+    return rec if isinstance(rec, Record) else Record(rec)
+
+
 def extras(contract: Contract, rec: Column) -> Column:
     """Names of undeclared fields, in the record's (sorted) order."""
-    keys = F.json_object_keys(F.to_json(rec))
+    keys = F.map_keys(F.try_variant_get(rec, "$", "map<string,variant>"))
     return F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*(F.lit(n) for n in contract.names)))
 
 
-def values(contract: Contract, rec: Column) -> dict[str, Column]:
-    return {f.name: field_columns(f, rec)[0] for f in contract.fields}
+def values(contract: Contract, rec: Column | Record) -> dict[str, Column]:
+    record = _record(rec)
+    return {f.name: field_columns(f, record[f.name])[0] for f in contract.fields}
 
 
-def issues(contract: Contract, rec: Column) -> Column:
+def issues(contract: Contract, rec: Column | Record) -> Column:
     """All messages of a record, joined by "; " in the contract's order, extras last; '' if it is right."""
-    found = [field_columns(f, rec)[1] for f in contract.fields]
+    record = _record(rec)
+    found = [field_columns(f, record[f.name])[1] for f in contract.fields]
     if contract.extra == "forbid":
-        found.append(F.transform(extras(contract, rec), lambda n: F.concat(n, F.lit(f": {FORBIDDEN}"))))
+        found.append(F.transform(extras(contract, record.rec), lambda n: F.concat(n, F.lit(f": {FORBIDDEN}"))))
     return F.array_join(F.concat(*found) if len(found) > 1 else found[0], "; ")
 
 
-def canonical(contract: Contract, rec: Column) -> Column:
+def canonical(contract: Contract, rec: Column | Record) -> Column:
     """The record as compact JSON: coerced, defaults filled in, declared fields in order, then extras if allowed."""
     declared = F.to_json(F.struct(*(v.alias(n) for n, v in values(contract, rec).items())), {"ignoreNullFields": "false"})
+    rec = _record(rec).rec
     if contract.extra != "allow":
         return declared
     raw = F.to_json(F.map_filter(F.try_variant_get(rec, "$", "map<string,variant>"), lambda k, _: F.array_contains(extras(contract, rec), k)))

@@ -42,6 +42,21 @@ def fold_hot(versions: DataFrame, key: list[str] | str, order: Column, tombstone
     return _latest(live, keys, columns)
 
 
+def last_versions(versions: DataFrame, key: str, order: Column, tombstone: Column, valid: Column) -> DataFrame:
+    """(key, readable_at, valid_at) of keys that are live by the index or by the fold: the places of the two versions.
+
+    Three maxima a key, combined before the one exchange: no order within a key is needed.
+    """
+    at = versions.select(F.col(key), order.alias("_at"), tombstone.alias("_gone"), valid.alias("_fine"))
+    by = at.groupBy(key).agg(
+        F.max(F.when(F.col("_gone"), F.col("_at"))).alias("_cut"),
+        F.max(F.when(~F.col("_gone"), F.col("_at"))).alias("readable_at"),
+        F.max(F.when(~F.col("_gone") & F.col("_fine"), F.col("_at"))).alias("valid_at"),
+    )
+    after = lambda c: F.when(F.col("_cut").isNull() | (F.col(c) > F.col("_cut")), F.col(c)).alias(c)
+    return by.select(key, after("readable_at"), after("valid_at")).where("readable_at is not null or valid_at is not null")
+
+
 def live_keys(versions: DataFrame, key: str, order: Column, tombstone: Column) -> DataFrame:
     """Live keys without their order: the latest readable version isn't a tombstone."""
     return versions.groupBy(key).agg(F.max_by(tombstone, order).alias("_gone")).where("not _gone").select(key)

@@ -25,5 +25,12 @@ def segment_stats(lines: DataFrame, by: list[str], order: str, line: str) -> Dat
     )
 
 
-def validate_summary(live_count: int, bad_count: int) -> dict:
-    return {"valid": live_count, "bad": bad_count}
+def validity(classified: DataFrame, key: str, order: Column) -> DataFrame:
+    """(valid, bad): live records and bad lines, from one pass over the lines and one exchange by key."""
+    bad = F.count_if(F.col("reason").isNotNull())
+    good = F.col("readable") & ~F.col("tombstone") & F.col("reason").isNull()
+    by = classified.groupBy(key).agg(
+        F.max(F.when(F.col("readable") & F.col("tombstone"), order)).alias("cut"), F.max(F.when(good, order)).alias("last"), bad.alias("bad")
+    )
+    live = F.col("last").isNotNull() & (F.col("cut").isNull() | (F.col("last") > F.col("cut")))
+    return by.agg(F.count_if(live).alias("valid"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from contractlog import scratch
 from contractlog.contract import Contract, Field, Kind, parse_contract
 from contractlog.functions import checks, text
 from contractlog.operators import changes, classify, fold, maintenance
@@ -159,8 +160,8 @@ c AS (SELECT seq, k AS key, gone AS tombstone, ok AND k IS NOT NULL AS readable,
 """
 
 
-def _lines(spark, sf_dir) -> DataFrame:
-    return classify.classify(classify.parse(logs.event_lines(spark, sf_dir)), logs.event_contract())
+def _lines(spark, sf_dir, record: bool = False) -> DataFrame:
+    return classify.classify(classify.parse(logs.dealt(logs.event_lines(spark, sf_dir), "seq")), logs.event_contract(), record)
 
 
 #: The exact text after "invalid json" is the JSON reader's own; SQL has no such message.
@@ -190,34 +191,36 @@ indexed AS (SELECT key, max(seq) AS seq, min(seq) AS pos FROM good GROUP BY key)
 """
 
 
+def _versions(spark, sf_dir) -> DataFrame:
+    return _lines(spark, sf_dir).select("key", "seq", "tombstone", "readable", "reason")
+
+
 def _line_fold(spark, sf_dir, valid_only: bool, how=fold.fold) -> DataFrame:
-    rows = _lines(spark, sf_dir).where("readable").select("key", "seq", "tombstone", "reason", "rec")
+    rows = _versions(spark, sf_dir).where("readable")
     valid = F.col("reason").isNull() if valid_only else None
-    return how(rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "reason"], valid).select("key", "seq", "pos", "reason")
+    return how(rows, "key", F.col("seq"), F.col("tombstone"), ["seq"], valid).select("key", "seq", "pos")
 
 
 @query(_LIVE + "SELECT key, seq, pos FROM folded")
 def fold_lines(spark, sf_dir):
-    return _line_fold(spark, sf_dir, True).drop("reason")
+    return _line_fold(spark, sf_dir, True)
 
 
 @query(_LIVE + "SELECT key, seq, pos FROM indexed")
 def index_fold_lines(spark, sf_dir):
-    return _line_fold(spark, sf_dir, False).drop("reason")
+    return _line_fold(spark, sf_dir, False)
 
 
 @query(_LIVE + "SELECT key, i.seq AS index_seq, f.seq AS fold_seq FROM indexed i FULL JOIN folded f USING (key) WHERE i.seq IS DISTINCT FROM f.seq")
 def fold_vs_index_divergence(spark, sf_dir):
-    i = _line_fold(spark, sf_dir, False).select("key", F.col("seq").alias("index_seq"))
-    f = _line_fold(spark, sf_dir, True).select("key", F.col("seq").alias("fold_seq"))
-    return i.join(f, "key", "full").where(~F.col("index_seq").eqNullSafe(F.col("fold_seq")))
+    rows = _versions(spark, sf_dir).where("readable")
+    both = fold.last_versions(rows, "key", F.col("seq"), F.col("tombstone"), F.col("reason").isNull())
+    return both.where(~F.col("readable_at").eqNullSafe(F.col("valid_at"))).select("key", F.col("readable_at").alias("index_seq"), F.col("valid_at").alias("fold_seq"))
 
 
 @query(_LIVE + "SELECT (SELECT count(*) FROM folded) AS valid, (SELECT count(*) FROM c WHERE reason IS NOT NULL) AS bad")
 def validate_summary(spark, sf_dir):
-    rows = _lines(spark, sf_dir).select("key", "seq", "tombstone", "reason", "readable")
-    live = fold.fold(rows.where("readable"), "key", F.col("seq"), F.col("tombstone"), ["seq"], F.col("reason").isNull())
-    return live.agg(F.count("*").alias("valid")).crossJoin(F.broadcast(rows.agg(F.count_if(F.col("reason").isNotNull()).alias("bad"))))  # two rows
+    return maintenance.validity(_versions(spark, sf_dir), "key", F.col("seq"))
 
 
 _OFFSETS = _LINES + """, o AS (SELECT seq, raw, CAST(coalesce(sum(strlen(raw) + 1) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
@@ -269,7 +272,7 @@ def _rec(df: DataFrame, **cols) -> DataFrame:
 
 
 def _issues(contract: Contract):
-    return classify.settled(checks.issues(contract, F.col("rec")))
+    return checks.settled(checks.issues(contract, F.col("rec")))
 
 
 def _customers(spark, sf_dir) -> DataFrame:
@@ -524,7 +527,7 @@ def delete_classify(spark, sf_dir):
 @query(_LIVE + "SELECT f.key, f.pos, '{\"user_id\":' || f.key || ',\"seq\":' || f.seq || ',\"kind\":\"' || json_extract_string(raw, '$.kind') || '\",\"props\":' || replace(json_extract_string(raw, '$.props'), ' ', '') || ',\"note\":\"none\"}' AS record FROM folded f JOIN c USING (seq)")
 def compact_result(spark, sf_dir):
     """What compaction writes: canonical records with their defaults, in order of pos."""
-    rows = _lines(spark, sf_dir).where("readable").withColumn("record", classify.settled(checks.canonical(logs.event_contract(), F.col("rec"))))
+    rows = _lines(spark, sf_dir, record=True).where("readable").select("key", "seq", "tombstone", "reason", "record")
     return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["record"], F.col("reason").isNull()).select("key", "pos", "record")
 
 
@@ -538,7 +541,8 @@ def compact_reclaimed_bytes(spark, sf_dir):
 
 @query(_LIVE + "SELECT 'bad' AS side, seq FROM c WHERE reason IS NOT NULL UNION ALL SELECT 'kept', seq FROM folded")
 def repair_split(spark, sf_dir):
-    rows = _lines(spark, sf_dir).select("key", "seq", "tombstone", "reason", "readable")
+    # what a line is gets settled once, by writing it; both sides read that
+    rows = scratch.settle(_versions(spark, sf_dir), "repair")
     kept = fold.fold(rows.where("readable"), "key", F.col("seq"), F.col("tombstone"), ["seq"], F.col("reason").isNull())
     return rows.where("reason is not null").select(F.lit("bad").alias("side"), "seq").unionAll(kept.select(F.lit("kept"), "seq"))
 

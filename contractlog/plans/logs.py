@@ -43,6 +43,12 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df over as many tasks as there are cores at least: a small file is one split, and its lines cost work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_contract():
     return parse_contract(EVENT_CONTRACT)
 

@@ -133,15 +133,12 @@ class Store:
         part = rank[F.element_at(F.split("file", "/"), -1)]
         return found.withColumn("seq", F.struct(part.alias("part"), F.col("offset").alias("offset")))
 
-    def classified(self, at: Snapshot | None = None) -> DataFrame:
-        return classify.classify(classify.parse(self.lines(at).drop("block", "row", "size")), self.contract)
-
-    def _values(self, folded: DataFrame) -> DataFrame:
-        return folded.select("key", "seq", "pos", "rec", *(v.alias(f"f_{n}") for n, v in checks.values(self.contract, F.col("rec")).items()))
+    def classified(self, at: Snapshot | None = None, record: bool = False) -> DataFrame:
+        return classify.classify(classify.parse(self.lines(at).drop("block", "row", "size")), self.contract, record)
 
     def live(self, at: Snapshot | None = None) -> DataFrame:
         """(key, seq, pos, record): valid records, record as canonical JSON."""
-        rows = self.classified(at).where("readable").withColumn("record", classify.settled(checks.canonical(self.contract, F.col("rec"))))
+        rows = self.classified(at, record=True).where("readable")
         rows = rows.select("key", "seq", "tombstone", "reason", "record")
         found = fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "record"], F.col("reason").isNull())
         return found.select("key", "seq", "pos", "record")
@@ -208,10 +205,10 @@ class Store:
 
     def prepared(self, raw: DataFrame) -> DataFrame:
         """raw(seq, raw) as upsert rows, at any size."""
-        parsed = raw.withColumn("rec", classify.settled(F.parse_json("raw")))
-        key = checks.field_columns(self.contract[self.contract.key], F.col("rec"))[0].cast("string")
-        made = F.struct(key.alias("key"), checks.canonical(self.contract, F.col("rec")).alias("record"), checks.issues(self.contract, F.col("rec")).alias("issues"))
-        return parsed.select("seq", classify.settled(made).alias("m")).select("seq", "m.key", "m.record", "m.issues")
+        parsed, rec = checks.spread(raw.withColumn("rec", checks.settled(F.parse_json("raw"))), self.contract)
+        key = checks.field_columns(self.contract[self.contract.key], rec[self.contract.key])[0].cast("string")
+        made = F.struct(key.alias("key"), checks.canonical(self.contract, rec).alias("record"), checks.issues(self.contract, rec).alias("issues"))
+        return parsed.select("seq", checks.settled(made).alias("m")).select("seq", "m.key", "m.record", "m.issues")
 
     def put(self, incoming: DataFrame) -> DataFrame:
         """Write what is new or changed of incoming(); returns (seq, key, op, issues)."""
