@@ -30,8 +30,7 @@ Detection", 2008):
 5. **rest**: for lists that still join several components, every pair between different
    components, reached from the members outside the list's largest component. Sizes are part
    of the join's key, by bands that are as wide as the length filter. This step leaves out
-   nothing that the filters let pass: rounds only make it small, and they end early where
-   little is left. Here all n-grams that two prefixes share are known, and their number
+   nothing that the filters let pass: rounds only make it small. Here all n-grams that two prefixes share are known, and their number
    bounds the intersection as well.
 6. **verify**: each pair once, by the suffix filter (the sets' sizes between fixed pivots
    bound their difference) and then by the exact intersection.
@@ -62,15 +61,14 @@ from contractlog.llm.components import components
 WORDS = 5
 PERCENT = 75
 #: Text whose marks are gathered before they are sent, and text for each bucket of marks: what a task holds of either.
-GROUP_BYTES = 1 << 24
-BUCKET_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 23
 LEAST_BUCKETS = 8
 #: Documents of a group at most: they are numbered in 16 bits, of which the last number says "several". Marks in one row.
 SEVERAL = (1 << 16) - 1
 MARKS_IN_ROW = 1 << 12
-#: Rounds of anchors at most before the exact rest; pairs of the rest, as a multiple of the lists' length, that need no further round.
-ROUNDS = 3
-EASY_REST = 2
+#: Rounds of anchors before the exact rest, at every size.
+ROUNDS = 2
 #: Text that one task splits into words at once.
 SLICE_BYTES = 1 << 22
 #: Rows of one Arrow batch that a task hands back.
@@ -150,8 +148,9 @@ def _texts(batches, n: int):
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
-    """Of each of 256 buckets whether it holds an odd number of the n-grams, as four integers."""
-    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=64 * len(BITMAP)) & 1
+    """Of each bucket whether it holds an odd number of the n-grams, as integers of 64 bits."""
+    buckets = 64 * len(BITMAP)
+    odd = np.bincount((s >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -312,7 +311,7 @@ def _ceil(a, b: int):
     return -(-a // b)
 
 
-SETS = "id long, n long, w0 long, w1 long, w2 long, w3 long, s binary"
+SETS = f"id long, n long, {', '.join(f'{w} long' for w in BITMAP)}, s binary"
 
 
 def _sets(n: int):
@@ -420,8 +419,6 @@ class NgramJoin:
             lists, left = self._mixed(lists, k)
             if not left:
                 return profile, self.found
-            if left <= EASY_REST * self.listed:
-                break
         self._connect(self._rest(lists), ROUNDS)
         return profile, self.found
 
@@ -471,7 +468,6 @@ class NgramJoin:
         listed = listed.withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
         listed = self.scratch.write(listed.withColumn("comp", F.col("id")), "lists")
         self.scratch.forget("prefix")
-        self.listed = listed.count()
         return listed
 
     def _close(self) -> F.Column:
@@ -502,23 +498,21 @@ class NgramJoin:
         rank = F.xxhash64("id", F.lit(k), *(["h"] if k else []))
         one = F.min(F.struct(rank.alias("r"), "id", "n", "pos", "early", "comp", *BITMAP)).alias("one")
         if k:
-            lists = lists.join(self.tops.select("h", "top"), "h")
             anchors, lists = lists.where("comp = top").groupBy("h").agg(one), lists.where("comp <> top")
         else:
             anchors = lists.groupBy("h").agg(one)
         anchors = self._other(anchors.select("h", "one.*"))
         return self._pairs(lists.join(anchors, "h").where((F.col("comp") != F.col("comp2")) & self._close()))
 
-    def _mixed(self, lists: DataFrame, k: int) -> tuple[DataFrame, int]:
-        """The lists that still meet several components, and how many pairs those have left."""
+    def _mixed(self, lists: DataFrame, k: int) -> tuple[DataFrame, bool]:
+        """The lists that still meet several components, with the largest one of each (top), and whether there are any."""
         found = self.found.select(F.col("node").alias("id"), F.col("component"))
-        now = lists.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        now = lists.drop("comp", "top").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         now = self.scratch.write(now, f"lists-{k}")
         by = now.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        by = by.groupBy("h").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        self.tops = self.scratch.write(by.select("h", "all", F.col("top.comp").alias("top"), F.col("top.c").alias("most")), f"tops-{k}")
-        left = self.tops.agg(F.sum(F.expr("cast(all as double) * (all - most)"))).first()[0] or 0
-        return now.join(self.tops.select("h"), "h", "left_semi"), left
+        by = by.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        self.tops = self.scratch.write(by.select("h", F.col("top.comp").alias("top")), f"tops-{k}")
+        return now.join(self.tops, "h"), not self.tops.isEmpty()
 
     def _rest(self, lists: DataFrame) -> DataFrame:
         """All pairs of different components; one of each is outside its list's largest component.
@@ -527,7 +521,7 @@ class NgramJoin:
         the positional filter lets pass; what follows that one is at most the shorter remainder.
         """
         lists = lists.withColumn("band", self._band())
-        few = lists.join(self.tops.select("h", "top"), "h").where("comp <> top")
+        few = lists.where("comp <> top")
         few = few.withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
         met = few.join(self._other(lists, "band"), ["h", "band"]).where(
             (F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("id") < F.col("id2"))) & self._close()
