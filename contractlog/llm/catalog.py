@@ -61,8 +61,8 @@ def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.occurrences(docs, mixing.plan(docs))
+    docs = mixing.counted(table(spark, sf_dir, "documents"))
+    return mixing.occurrences(docs, mixing.plan(docs, tokens_col="tokens"), tokens_col="tokens")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,11 @@ Tokens are words ([^\\x20\\x09-\\x0D]+). A null source is a source of its own. A
 no tokens; sources without any token get no weight. Documents without tokens go where their
 place in the order puts them. Rows that repeat an id share its place, all or none are taken;
 a null id is hashed like an empty one. An empty table gives an empty mixture. Other columns
-stay as they are in ``mix`` and are ignored in ``plan``.
+stay as they are in ``mix``, whatever they are called, and are ignored in ``plan``.
+
+A plan has one row a source and is written to the shared folder. Documents meet it by a
+broadcast while it has at most MOST_SOURCES rows; with more sources, by a join in which each
+source is dealt out to SALTS tasks, so that a source with a third of all rows isn't one task.
 """
 
 from __future__ import annotations
@@ -25,27 +29,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contractlog.llm.common import Scratch
+
 #: Share of the greatest entropy that the weights must have; times that a source may be repeated; seed of all orders.
 ENTROPY, REPEATS, SEED = 0.98, 4.0, "mix-1"
 BISECTIONS = 60
 #: Blocks of a source: three hexadecimal digits.
 BLOCK_DIGITS = 3
 NULL_SOURCE = "\u0000null"
+#: Rows of a plan that are broadcast at most (some 100 bytes each); tasks that share a source beyond that.
+MOST_SOURCES, SALTS = 50_000, 64
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """docs with _source, _tokens, _block and, for the partial epoch, _order of the document."""
-    spelt = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return docs.withColumns({
-        "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(NULL_SOURCE)),
-        "_tokens": tokens(F.col(text_col)),
-        "_block": F.substring(F.md5(F.concat(F.lit(f"{seed}/"), spelt)), 1, BLOCK_DIGITS),
-        "_spelt": spelt,
-    })
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, source, tokens) of every row, written once: texts are read no more than that."""
+    rows = docs.select(named(id_col), named(source_col), tokens(named(text_col)).alias("tokens"))
+    return Scratch(docs.sparkSession, "counted").write(rows, "tokens")
+
+
+def _placed(docs: DataFrame, id_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """_source, _block, _spelt (the id, by which documents are ordered) and what else is asked for."""
+    spelt = F.coalesce(named(id_col).cast("string"), F.lit(""))
+    return docs.select(
+        F.coalesce(named(source_col).cast("string"), F.lit(NULL_SOURCE)).alias("_source"),
+        F.substring(F.md5(F.concat(F.lit(f"{seed}/"), spelt)), 1, BLOCK_DIGITS).alias("_block"),
+        spelt.alias("_spelt"),
+        *more,
+    )
 
 
 def block_order(source: Column, block: Column, epoch: Column, seed: str) -> Column:
@@ -95,15 +114,20 @@ def weights(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     ).withColumn("rest", F.greatest(F.lit(0.0), F.col("quota") - F.col("epochs") * F.col("_tokens")))
 
 
-def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None) -> DataFrame:
     """One row per source with tokens: its weight, epochs, and where the partial epoch ends.
 
     Columns: _source, tokens, exponent, weight, quota, epochs, cut_block, cut_row. In the
     partial epoch the blocks before cut_block are taken whole, and of that block the rows up
-    to cut_row; both are null if the epochs meet the quota.
+    to cut_row; both are null if the epochs meet the quota. tokens_col: a column that holds
+    the token counts already; otherwise they are counted in text_col.
     """
-    rows = _placed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).select("_source", "_tokens", "_block", "_spelt")
+    scratch = Scratch(docs.sparkSession, "mixture")
+    size = named(tokens_col) if tokens_col else tokens(named(text_col))
+    rows = _placed(docs, id_col, source_col, seed, size.alias("_tokens"))
+    rows = scratch.write(rows, "placed")  # read three times below
     blocks = rows.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_tokens"))
+    blocks = scratch.write(blocks, "blocks")
     wanted = weights(blocks.groupBy("_source").agg(F.sum("_tokens").alias("_tokens")), entropy, repeats, budget)
     goal = wanted.select("_source", "epochs", "rest").where("rest > 0.5")
     ranked = blocks.join(goal, "_source").withColumn("_at", block_order(F.col("_source"), F.col("_block"), F.col("epochs"), seed))
@@ -117,30 +141,40 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     v = Window.partitionBy("_source").orderBy("_row")
     inside = inside.withColumn("_upto", F.col("_before") + F.sum("_tokens").over(v) - F.col("_tokens")).where("_upto < rest")
     ends = inside.groupBy("_source").agg(F.first("cut_block").alias("cut_block"), F.max("_row").alias("cut_row"))
-    return wanted.join(ends, "_source", "left").select(
+    made = wanted.join(ends, "_source", "left").select(
         "_source", F.col("_tokens").alias("tokens"), "exponent", "weight", "quota", "epochs", "cut_block", "cut_row"
     )
+    made = scratch.write(made, "plan")
+    scratch.forget("placed")
+    return made
 
 
-def _copies(docs: DataFrame, plans: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    placed = _placed(docs, id_col, text_col, source_col, seed)
+def _copies(docs: DataFrame, plans: DataFrame, seed: str, id_col: str, source_col: str, *more: Column) -> DataFrame:
+    """_placed rows that are taken, with _copies."""
+    placed = _placed(docs, id_col, source_col, seed, *more)
     p = plans.select("_source", F.col("epochs").alias("_epochs"), F.col("cut_block").alias("_cb"), F.col("cut_row").alias("_cr"))
-    met = placed.join(p, "_source")
+    if plans.count() <= MOST_SOURCES:
+        met = placed.join(F.broadcast(p), "_source")
+    else:
+        p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = placed.withColumn("_salt", F.pmod(F.xxhash64("_spelt"), F.lit(SALTS)).cast("int")).join(p, ["_source", "_salt"])
     at = block_order(F.col("_source"), F.col("_block"), F.col("_epochs"), seed)
     row = row_order(F.col("_spelt"), F.col("_epochs"), seed)
-    more = F.coalesce((at < F.col("_cb")) | ((at == F.col("_cb")) & (row <= F.col("_cr"))), F.lit(False))
-    return met.withColumn("_copies", F.col("_epochs") + more.cast("long")).where("_copies > 0")
+    taken = F.coalesce((at < F.col("_cb")) | ((at == F.col("_cb")) & (row <= F.col("_cr"))), F.lit(False))
+    return met.withColumn("_copies", F.col("_epochs") + taken.cast("long")).where("_copies > 0")
 
 
-def occurrences(docs: DataFrame, plans: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def occurrences(docs: DataFrame, plans: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None) -> DataFrame:
     """One row for each time a document is taken: id, source, tokens, epoch, block_at, row_at.
 
     Ordered by (epoch, block_at, row_at), a source's rows are its permutation of that epoch.
+    tokens_col: as in plan().
     """
-    took = _copies(docs.select(id_col, text_col, source_col), plans, seed, id_col, text_col, source_col)
+    size = named(tokens_col) if tokens_col else tokens(named(text_col))
+    took = _copies(docs, plans, seed, id_col, source_col, named(id_col).alias("_id"), named(source_col).alias("_given"), size.alias("_tokens"))
     each = took.withColumn("epoch", F.explode(F.expr("sequence(0L, _copies - 1)")))
     return each.select(
-        F.col(id_col), F.col(source_col), F.col("_tokens").alias("tokens"), "epoch",
+        F.col("_id").alias(id_col), F.col("_given").alias(source_col), F.col("_tokens").alias("tokens"), "epoch",
         block_order(F.col("_source"), F.col("_block"), F.col("epoch"), seed).alias("block_at"),
         row_order(F.col("_spelt"), F.col("epoch"), seed).alias("row_at"),
     )
@@ -148,8 +182,9 @@ def occurrences(docs: DataFrame, plans: DataFrame, seed: str = SEED, id_col: str
 
 def mix(docs: DataFrame, plans: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs as often as the mixture takes them, all columns as they were."""
-    took = _copies(docs, plans, seed, id_col, text_col, source_col)
-    return took.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*docs.columns)
+    took = _copies(docs, plans, seed, id_col, source_col, F.struct(*(named(c) for c in docs.columns)).alias("_row"))
+    each = took.select("_row", F.explode(F.expr("sequence(1L, _copies)")).alias("_copy"))
+    return each.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 OCCURRENCES_SQL = r"""

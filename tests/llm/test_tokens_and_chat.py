@@ -204,3 +204,18 @@ def test_mixing_edges(spark):
     assert plans.count() == 0 and mixing.mix(df, plans).count() == 0 and mixing.occurrences(df, plans).count() == 0
     df = spark.createDataFrame([(None, "a b", "s"), (1, "c " * 50000, "s"), (1, "c " * 50000, "s"), (2, "d", "s")], df.schema)
     assert mixing.mix(df, mixing.plan(df)).count() == 4  # one source: as it is
+
+
+def test_mixing_keeps_columns_of_any_name(spark, monkeypatch):
+    names = ["_tokens", "_source", "_block", "_spelt", "_copies", "_copy", "_row", "_salt", "tokens", "a.b", "c`d"]
+    rows = [(k, f"w{k} " * (1 + k % 7), "big" if k % 3 else "low") for k in range(300)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = plain.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    plans = mixing.plan(df, entropy=1.0)
+    got = sorted(tuple(r) for r in mixing.mix(df, plans).collect())
+    assert mixing.mix(df, plans).columns == df.columns and {r[0] for r in got} <= set(range(300)) and len(got) > 250
+    assert all(r[3:] == tuple(f"{n}{r[0]}" for n in names) and r[:3] == rows[r[0]] for r in got)
+    counted = mixing.counted(df)
+    assert sorted(mixing.occurrences(counted, mixing.plan(counted, 1.0, tokens_col="tokens"), tokens_col="tokens").collect()) == sorted(mixing.occurrences(df, plans).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)  # the salted join
+    assert sorted(tuple(r) for r in mixing.mix(df, plans).collect()) == got
