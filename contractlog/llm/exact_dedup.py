@@ -2,22 +2,30 @@
 
 The index keeps *runs* of (digest, least doc_id, copies), each a Parquet folder:
 
-* a **memtable** is what one task has read of a batch; ``flush`` pre-aggregates it by
-  digest and writes it sorted by digest, with Parquet's own Bloom filter on the digest.
-  A batch that is flushed twice replaces its own run, so a retry changes nothing.
+* a **memtable** is what is read of a batch; ``flush`` pre-aggregates it by digest and writes
+  it sorted by digest, with Parquet's own Bloom filter on the digest, by which ``lookup``
+  skips row groups. A batch that is flushed twice replaces its own run, so a retry changes
+  nothing. ``build`` flushes a table as FAN_IN batches at once, by a hash of the id.
 * ``compact`` merges the runs of a level into one run of the next level and keeps the
-  smallest identifier and the sum of copies of each digest.
-* ``probe`` looks texts up: a bitmap of the digests that occur more than once (its size
-  is bounded, see common.MOST_FILTER_BITS) lets most texts pass without a shuffle; for a
-  hit the whole normalised text is part of the grouping and join keys, so equal digests
-  alone never make a copy: that is the byte verification.
+  smallest identifier and the sum of copies of each digest. It happens whenever a level has
+  FAN_IN runs, so ``build`` ends with one merged run.
+* ``probe`` tells texts that may have copies from those that surely have none, by a filter of
+  the digests that occur more than once; it is a bitmap of a bounded size that is broadcast,
+  or, for more digests than that is good for (see common.MOST_FILTER_BITS), a join by digest.
+* hits receive **byte verification**: of all whole texts of one digest the least and the
+  greatest are kept, combined before they are shuffled; where they are the same, all are.
+  Digests that stand for several texts are told apart by the texts themselves.
+
+Which document stays and how many copies it has comes from the index. Digests that hold over
+one in HOT_SHARE of all rows are at most HOT_SHARE; they are broadcast, so that a group with
+a third of all rows isn't one task's.
 
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` becomes one space.
 A null text is an empty text; empty texts are copies of each other. A null doc_id counts
 as a copy but is never the least one; where a class has only null ids, keep_id is null
 and nothing of it is kept. Rows that repeat both text and doc_id are all marked kept by
-``classes`` and become one row in ``dedup``. An empty table gives an empty result.
-Columns of the input that are named like the result's are replaced by them.
+``classes`` and become one row in ``dedup``. An empty table gives an empty result. Columns of
+any name and type stay as they are in ``dedup`` and are ignored in ``classes``.
 """
 
 from __future__ import annotations
@@ -25,10 +33,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contractlog.llm import common
 from contractlog.llm.common import Scratch, filter_bits, maybe_member, membership
 
 #: Runs that may lie on one level before they are merged.
 FAN_IN = 8
+#: A digest is hot if it holds over one in so many rows.
+HOT_SHARE = 1000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -40,9 +51,14 @@ def digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _norm, _digest) of every row."""
-    return docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm")).withColumn(
+    return docs.select(named(id_col).alias("_id"), normalised(named(text_col)).alias("_norm")).withColumn(
         "_digest", digest(F.col("_norm"))
     )
 
@@ -58,15 +74,33 @@ class DigestIndex:
             run.sortWithinPartitions("_digest"), name, **{"parquet.bloom.filter.enabled#_digest": "true"}
         )
 
+    @staticmethod
+    def _memtable(batch: DataFrame, *by: str) -> DataFrame:
+        return batch.groupBy(*by, "_digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies"))
+
     def flush(self, batch: DataFrame, batch_id: str) -> None:
         """Add (_id, _digest) rows as one sorted run; the same batch_id again replaces it."""
         name = f"level0-{batch_id}"
-        self._write(batch.groupBy("_digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies")), name)
+        self._write(self._memtable(batch), name)
         if name not in self.levels[0]:
             self.levels[0].append(name)
         if len(self.levels[0]) >= FAN_IN:
             self.compact(0)
 
+    def flush_all(self, rows: DataFrame, batches: int) -> None:
+        """Add (_id, _digest) rows as so many runs, written by one job."""
+        parted = rows.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int"))
+        runs = self._memtable(parted, "_run").select("_digest", "_least", "_copies", "_run").sortWithinPartitions("_run", "_digest")
+        path = f"{self.scratch.root}/memtables"
+        runs.write.mode("overwrite").partitionBy("_run").option("parquet.bloom.filter.enabled#_digest", "true").parquet(path)
+        written = self.scratch.spark.read.schema(runs.schema).parquet(path)
+        for k in range(batches):
+            name = f"memtables/_run={k}"
+            self.runs[name] = written.where(F.col("_run") == k).drop("_run")
+            self.levels[0].append(name)
+        if len(self.levels[0]) >= FAN_IN:
+            self.compact(0)
+
     def compact(self, level: int) -> None:
         names = self.levels[level]
         if len(names) < 2:
@@ -94,42 +128,83 @@ class DigestIndex:
         names = [x for level in self.levels for x in level]
         return self.runs[names[0]] if len(names) == 1 else self._merged(names)
 
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """entries() of a few digests: the runs' Bloom filters leave out what doesn't hold them."""
+        return self.entries().where(F.col("_digest").isin([F.lit(x) for x in digests]))
+
+    def repeated(self) -> DataFrame:
+        return self.entries().where("_copies > 1")
+
     def probe(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """texts(_id, _norm, _digest, ...) as (those that are surely single, possible copies)."""
-        repeated = self.entries().where("_copies > 1")
-        bits = filter_bits(repeated.count())
-        bitmaps = self.scratch.write(membership(repeated, "_digest", bits), "filter")
-        probed = maybe_member(texts, "_digest", bitmaps, bits)
+        """texts(_digest, ...) as (those that are surely single, possible copies)."""
+        repeated = self.repeated()
+        probed = may_hold(texts, repeated, "_digest", self.scratch, "filter")
         return probed.where("not maybe").drop("maybe"), probed.where("maybe").drop("maybe")
 
 
-def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DigestIndex:
-    """An index over docs, flushed in so many batches (by a hash of the digest)."""
+def may_hold(rows: DataFrame, keys: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """rows with maybe: false only where the key is surely not among keys."""
+    count = keys.count()
+    if 8 * count <= common.MOST_FILTER_BITS:
+        bits = filter_bits(count)
+        return maybe_member(rows, key, scratch.write(membership(keys, key, bits), name), bits)
+    there = keys.select(key).distinct().withColumn("maybe", F.lit(True))
+    return rows.join(there, key, "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+
+
+def build(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", batches: int = FAN_IN) -> tuple[DigestIndex, DataFrame]:
+    """An index over docs, flushed in so many batches, and the (_id, _digest) of every row."""
     index = DigestIndex(scratch)
-    rows = with_digest(docs, id_col, text_col).select("_id", "_digest")
-    for k in range(batches):
-        index.flush(rows if batches == 1 else rows.where(F.pmod(F.xxhash64("_digest"), F.lit(batches)) == k), f"{k}")
-    return index
+    rows = scratch.write(with_digest(docs, id_col, text_col).select("_id", "_digest"), "rows")
+    index.flush_all(rows, batches)
+    return index, rows
+
+
+def _verified(hits: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Digests of hits(_digest, _norm) that stand for several texts, and whether there are any."""
+    ends = hits.groupBy("_digest").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b"))
+    broken = scratch.write(ends.where("a <> b").select("_digest"), "broken")
+    return broken, not broken.isEmpty()
+
+
+def _told(rows: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """rows with _least and _copies of their digests, where known has them: hot ones by a broadcast."""
+    hot = known.where(F.col("_copies") * HOT_SHARE > total)  # HOT_SHARE rows at most
+    by_hot = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_digest", "left")
+    cold = by_hot.where("_hot is null").drop("_hot", "_least", "_copies")
+    return by_hot.where("_hot").drop("_hot").unionByName(cold.join(known, "_digest", "left"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    index = build(docs, scratch, id_col, text_col)
-    single, hits = index.probe(with_digest(docs, id_col, text_col))
+    index, rows = build(docs, scratch, id_col, text_col)
+    _, hits = index.probe(with_digest(docs, id_col, text_col))
     hits = scratch.write(hits, "hits")
-    groups = hits.groupBy("_digest", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
-    found = hits.join(groups, ["_digest", "_norm"]).select("_id", "_digest", "_keep", "_size")
-    every = single.select("_id", "_digest", F.col("_id").alias("_keep"), F.lit(1).cast("bigint").alias("_size")).unionByName(found)
+    broken, any_broken = _verified(hits, scratch)
+    if any_broken:
+        rows = rows.join(broken, "_digest", "left_anti")
+    told = _told(rows, index.repeated(), rows.count())
+    every = told.select("_id", "_digest", F.when(F.col("_copies").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("_keep"), F.coalesce("_copies", F.lit(1)).alias("_size"))
+    if any_broken:
+        hits = hits.join(broken, "_digest", "left_semi")
+        groups = hits.groupBy("_digest", "_norm").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
+        every = every.unionByName(hits.join(groups, ["_digest", "_norm"]).select("_id", "_digest", "_keep", "_size"))
     return every.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
-        F.col("_size").alias("group_size"),
+        F.col("_size").cast("long").alias("group_size"),
         F.coalesce(F.col("_id") == F.col("_keep"), F.lit(False)).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
 
 
+def _orderable(docs: DataFrame, name: str) -> Column:
+    """The column, or its JSON text where its type has no order."""
+    shown = docs.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(named(name))) if "map<" in shown or "variant" in shown else named(name)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without copies, all columns as they were: of equal texts the row with the least id.
 
@@ -137,14 +212,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A class whose ids are all null keeps its least row as well.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    index = build(docs, scratch, id_col, text_col)
-    rest = [c for c in docs.columns if c != id_col]
+    index, _ = build(docs, scratch, id_col, text_col)
     texts = docs.select(
-        F.col(id_col).alias("_id"),
-        normalised(F.col(text_col)).alias("_norm"),
-        F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_first"), *(F.col(c) for c in rest)).alias("_row"),
+        named(id_col).alias("_id"),
+        normalised(named(text_col)).alias("_norm"),
+        F.struct(*(named(c) for c in docs.columns)).alias("_row"),
+        F.struct(named(id_col).isNull(), named(id_col), *(_orderable(docs, c) for c in docs.columns if c not in (id_col, text_col)), named(text_col)).alias("_order"),
     ).withColumn("_digest", digest(F.col("_norm")))
     single, hits = index.probe(texts)
-    least = hits.groupBy("_digest", "_norm").agg(F.min("_row").alias("_row"))
-    back = [F.col("_row._first").alias(id_col) if c == id_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return single.select(*back).unionByName(least.select(*back))
+    hits = scratch.write(hits, "hits")
+    broken, any_broken = _verified(hits, scratch)
+    first = F.min_by("_row", "_order").alias("_row")
+    # a row that isn't its digest's least one goes before anything is shuffled
+    one = F.xxhash64("_digest", F.coalesce(F.col("_least").cast("string"), F.lit("")))
+    least = index.entries().select("_digest", "_least", one.alias("_one"))
+    marked = hits.withColumn("_one", F.xxhash64("_digest", F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    wanted = may_hold(marked, least.join(hits.select("_digest").distinct(), "_digest", "left_semi"), "_one", scratch, "keepers").where("maybe")
+    found = wanted.join(least.drop("_one"), "_digest").where(F.col("_id").eqNullSafe(F.col("_least")))
+    if any_broken:
+        found = found.join(broken, "_digest", "left_anti")
+    kept = found.groupBy("_digest").agg(first).select("_row")
+    if any_broken:
+        kept = kept.unionByName(hits.join(broken, "_digest", "left_semi").groupBy("_digest", "_norm").agg(first).select("_row"))
+    return single.select("_row").unionByName(kept).select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -109,6 +109,41 @@ def test_every_round_reaches_the_rest(spark, monkeypatch):
     assert joined(spark, texts) == brute_join(texts)
 
 
+def test_marks_of_many_groups(spark, monkeypatch):
+    """Groups of few documents, buckets of few marks and rows of few: no link is lost."""
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(ngram_join, "SEVERAL", 9)
+    monkeypatch.setattr(ngram_join, "MARKS_IN_ROW", 7)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 1000)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(rng.randrange(4, 70))]
+        texts += near_copies(rng, base, rng.randrange(1, 5), rng.choice([0, 0.02, 0.05]))
+    texts = dict(enumerate([*texts, None, "", "one"] + ["the very same words here"] * 30))
+    assert joined(spark, texts) == brute_join(texts)
+    monkeypatch.setattr(ngram_join, "MOST_FILTER_BITS", 0)  # beyond the filter's bound texts meet the classes by a shuffle
+    assert joined(spark, texts) == brute_join(texts)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(1, 50), (3, 90), (2, 100)])
+def test_other_thresholds(spark, n, percent):
+    rng = random.Random(n)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("abcdef") + str(rng.randrange(60)) for _ in range(rng.randrange(1, 40))]
+        texts += near_copies(rng, base, rng.randrange(1, 6), rng.choice([0, 0.05, 0.2]))
+    texts = dict(enumerate(texts))
+    assert joined(spark, texts, n=n, percent=percent) == brute_join(texts, n, percent)
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(k, f"some text of its own number {k}", "en") for k in range(9)] + [(20, "some text of its own number 3", "en")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("a.b", F.col("doc_id")).withColumn("c`d", F.lit(1))
+    kept = ngram_join.dedup(df)
+    assert kept.columns == df.columns and sorted(r["a.b"] for r in kept.collect()) == list(range(9))
+
+
 def test_join_on_documents_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -194,6 +229,45 @@ def test_equal_digests_are_verified(spark, monkeypatch):
     assert got == {(k, k % 150, 4) for k in range(600)}
 
 
+def test_equal_digests_in_dedup(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: F.unhex(F.substring(F.sha2(norm, 256), 1, 1)))
+    rows = [(k, f"text {k % 40}") for k in range(200)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], DOCS)
+    assert sorted(r.doc_id for r in exact_dedup.dedup(df).collect()) == list(range(40))
+    monkeypatch.setattr(exact_dedup.common, "MOST_FILTER_BITS", 0)  # beyond the filter's bound
+    assert sorted(r.doc_id for r in exact_dedup.dedup(df).collect()) == list(range(40))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.classes(df).collect()} == {(k, k % 40, 5) for k in range(200)}
+
+
+def test_dedup_keeps_columns_of_any_name_and_type(spark):
+    rows = [(k % 60, f"text {k % 40}", "en") for k in range(120)]
+    df = spark.createDataFrame(rows, DOCS).select("*", *(F.lit(n).alias(n) for n in ("_first", "_none", "_row", "_digest", "_least", "a.b", "c`d")))
+    df = df.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("v", F.parse_json(F.lit('{"a":1}')))
+    kept = exact_dedup.dedup(df)
+    got = kept.collect()
+    assert kept.columns == df.columns and len(got) == 40 == len({r.text for r in got}) and {r.doc_id for r in got} == set(range(20))
+    assert all(r["a.b"] == "a.b" and r["c`d"] == "c`d" and r["_first"] == "_first" and r.m == {"k": r.doc_id} for r in got)
+
+
+def test_hot_texts_come_from_the_index(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    rows = [(k, "the hot text" if k % 3 else f"text {k % 50}") for k in range(400)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], DOCS)
+    assert sorted(map(tuple, exact_dedup.classes(df).collect()), key=str) == sorted(brute_copies(rows), key=str)
+
+
+def test_index_lookup_and_later_batches(spark):
+    rows = [(k, f"text {k % 70}") for k in range(300)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], DOCS)
+    index, digests = exact_dedup.build(df.where("doc_id >= 100"), Scratch(spark, "t"))
+    assert [len(x) for x in index.levels] == [0, 1] and digests.count() == 200
+    index.flush(exact_dedup.with_digest(df.where("doc_id < 100")).select("_id", "_digest"), "late")
+    assert [len(x) for x in index.levels] == [1, 1]
+    assert {r._least: r._copies for r in index.entries().collect()} == {k: 5 if k < 20 else 4 for k in range(70)}
+    asked = [hashlib.sha256(f"text {k}".encode()).digest() for k in (3, 69, 500)]
+    assert {r._least: r._copies for r in index.lookup(asked).collect()} == {3: 5, 69: 4}
+
+
 def test_index_levels(spark):
     rows = [(k, f"text {k % 70}") for k in range(300)]
     df = spark.createDataFrame([(*r, "en") for r in rows], DOCS)
