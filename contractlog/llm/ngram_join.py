@@ -20,7 +20,7 @@ Detection", 2008):
    Sizes x need the first ``x - ceil(2t x / (1 + t)) + 1`` n-grams against longer sets and the
    first ``x - ceil(t x) + 1`` against shorter ones; n-grams of one class come first and join
    nothing. Beside the length and positional filters, a bitmap filter (Sandes et al., "Bitmap
-   Filter", 2020) holds back pairs early: 256 parities of each set, of which no more can
+   Filter", 2020) holds back pairs early: 512 parities of each set, of which no more can
    differ than n-grams do.
 4. **lists**: n-grams in the prefixes of two or more classes. In the first round every class
    of a list is paired with one *anchor* of the list, and what has been verified becomes
@@ -74,8 +74,8 @@ SLICE_BYTES = 1 << 22
 #: Rows of one Arrow batch that a task hands back.
 BATCH_ROWS = 1 << 17
 SUFFIX_PIVOTS = 16
-#: Columns of the parity bitmap, of 64 bits each.
-BITMAP = ("w0", "w1", "w2", "w3")
+#: Columns of the parity bitmap, of 64 bits each; as many as a power of two.
+BITMAP = tuple(f"w{k}" for k in range(8))
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = 0x9E3779B97F4A7C15
