@@ -38,6 +38,8 @@ from contractlog.llm.common import Scratch, filter_bits, maybe_member, membershi
 
 #: Runs that may lie on one level before they are merged.
 FAN_IN = 8
+#: A Bloom filter on the digest in each file, of the size that the file's digests ask for.
+FILTERS = {"parquet.bloom.filter.enabled#_digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
 #: A digest is hot if it holds over one in so many rows.
 HOT_SHARE = 1000
 SPACES = r"[\x20\x09-\x0D]+"
@@ -70,9 +72,7 @@ class DigestIndex:
         self.scratch, self.levels, self.runs = scratch, [[]], {}
 
     def _write(self, run: DataFrame, name: str) -> None:
-        self.runs[name] = self.scratch.write(
-            run.sortWithinPartitions("_digest"), name, **{"parquet.bloom.filter.enabled#_digest": "true"}
-        )
+        self.runs[name] = self.scratch.write(run.sortWithinPartitions("_digest"), name, **FILTERS)
 
     @staticmethod
     def _memtable(batch: DataFrame, *by: str) -> DataFrame:
@@ -90,9 +90,11 @@ class DigestIndex:
     def flush_all(self, rows: DataFrame, batches: int) -> None:
         """Add (_id, _digest) rows as so many runs, written by one job."""
         parted = rows.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int"))
-        runs = self._memtable(parted, "_run").select("_digest", "_least", "_copies", "_run").sortWithinPartitions("_run", "_digest")
+        runs = self._memtable(parted, "_run").select("_digest", "_least", "_copies", "_run")
+        # by ranges: a task holds a piece of one run, so files are as many as tasks and not as tasks times runs
+        runs = runs.repartitionByRange("_run", "_digest").sortWithinPartitions("_run", "_digest")
         path = f"{self.scratch.root}/memtables"
-        runs.write.mode("overwrite").partitionBy("_run").option("parquet.bloom.filter.enabled#_digest", "true").parquet(path)
+        runs.write.mode("overwrite").partitionBy("_run").options(**FILTERS).parquet(path)
         written = self.scratch.spark.read.schema(runs.schema).parquet(path)
         for k in range(batches):
             name = f"memtables/_run={k}"
