@@ -7,50 +7,32 @@ only the tasks it ran.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contractlog.scratch import delete, drop_at_exit, shared_dir
+
 #: Most bits of a membership filter: 2 ** 28 bits are 32 MB when broadcast.
 MOST_FILTER_BITS = 1 << 28
 #: Bits of one bitmap of bitmap_construct_agg.
 BITMAP_BITS = 32768
-#: Rows of an Arrow batch at most.
-ARROW_ROWS = 1024
+#: Rows and bytes of an Arrow batch at most.
+ARROW_ROWS, ARROW_BYTES = 1024, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="contractlog-")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most ARROW_ROWS rows at once: both sides hold a batch whole, and texts are long."""
+    """Hand Python at most ARROW_ROWS rows and about ARROW_BYTES at once: both sides hold a batch whole, and texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None:
-        return
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 class Scratch:
@@ -61,15 +43,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/contractlog/{what}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        drop_at_exit(spark, self.root)
         small_batches(spark)
 
-    def drop(self) -> None:
-        try:
-            delete(self.spark, self.root)
-        except Exception:  # the session has gone, and its shared folder with it
-            pass
-
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").options(**options).parquet(path)

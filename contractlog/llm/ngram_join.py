@@ -61,8 +61,8 @@ from contractlog.llm.components import components
 WORDS = 5
 PERCENT = 75
 #: Text whose marks are gathered before they are sent, and text for each bucket of marks: what a task holds of either.
-GROUP_BYTES = 1 << 23
-BUCKET_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 22
 LEAST_BUCKETS = 8
 #: Documents of a group at most: they are numbered in 16 bits, of which the last number says "several". Marks in one row.
 SEVERAL = (1 << 16) - 1
@@ -70,7 +70,7 @@ MARKS_IN_ROW = 1 << 12
 #: Rounds of anchors before the exact rest, at every size.
 ROUNDS = 2
 #: Text that one task splits into words at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch that a task hands back.
 BATCH_ROWS = 1 << 17
 SUFFIX_PIVOTS = 16
