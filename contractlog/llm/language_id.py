@@ -22,6 +22,11 @@ a third of all pages is one row of sums, joined by a join that can be split.
 A null or empty page has no text evidence: its text posterior is equal over the languages. A
 null or unreadable address has the host and suffix ''. Pages are judged row by row, also
 those that repeat an id; ties go to the first language by name. Other columns are ignored.
+Without any labelled text there is no language to name: lang and text_lang are null and the
+probability is 0. An empty table of pages gives an empty result. Texts are read whole.
+
+Every language of the labels is learnt, from one scan; a model holds 128 KB a language, and more
+than MOST_LANGS of them (256 MB) raise an error rather than leave some out.
 """
 
 from __future__ import annotations
@@ -31,13 +36,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contractlog.llm.common import Scratch, small_batches
 
-#: Labelled documents of each language that the fit reads at most; languages at most.
-SAMPLE, MOST_LANGS = 300, 256
+#: Labelled documents of each language that the fit reads at most; languages that a broadcast model may hold.
+SAMPLE, MOST_LANGS = 300, 2048
 BUCKETS = 1 << 15
 #: Trigrams that a text counts for at most; pseudo-pages of each level; pseudo-counts of true and of other declarations.
 EVIDENCE, SMOOTH, CLEAN, OTHER = 40.0, 5.0, 8.0, 1.0
@@ -90,17 +95,20 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of at most per_lang documents of each language, the first by a hash of id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    if not langs:
-        return Model([], None)
-    chosen = None
-    for lang in langs:
-        part = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(per_lang)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = sorted(texts.join(F.broadcast(chosen), ["lang", "id"]).collect(), key=lambda r: (r.lang, str(r.id), r.text or ""))
+    """A model of at most per_lang documents of each language, the first by a hash of id.
+
+    The ranks are cut off where the rows are read, so a language with a third of all rows
+    sends per_lang rows from each task and no more.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    count = rows.agg(F.approx_count_distinct("lang")).first()[0]
+    if count > MOST_LANGS:
+        raise ValueError(f"about {count} languages are labelled; a model holds {MOST_LANGS}")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.withColumn("k", rank).where(F.col("k") <= per_lang).drop("k")  # per_lang rows a language
+    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(chosen.distinct()), (texts.lang == chosen.lang) & texts.id.eqNullSafe(chosen.id), "left_semi")
+    found = sorted(joined.collect(), key=lambda r: (r.lang, str(r.id), r.text or ""))
     return fit([r.text or "" for r in found], [r.lang for r in found])
 
 
@@ -134,7 +142,11 @@ def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
     small_batches(pages.sparkSession)
     langs = model.langs
     if not langs:
-        raise ValueError("there are no labelled texts to tell languages by")
+        host = host_of(F.col(url_col))
+        none = F.lit(None).cast("string")
+        return pages.select(
+            F.col(id_col), none.alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"), declared_of(F.col(html_col)).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix")
+        )
     k = len(langs)
     sent = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(
