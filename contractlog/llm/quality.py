@@ -1,19 +1,22 @@
 """Quality: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes a bag of surface terms: pairs of character kinds (each ASCII mark is a kind
-of its own; letters are kinds by case), runs of coarser kinds in fours, and graded terms for
-how much of the text repeats itself (words, word triples, lines, neighbours). Term weights
-are square roots of relative counts, times a rarity weight; a truncated singular value
-decomposition of the labelled sample's bags gives the latent directions. Every text, whole,
-is projected on them, scaled to length one, and compared with *all* labelled vectors by
-exact cosine products in blocks; the NEIGHBOURS nearest vote with weights that rise with
-their similarity, corrected for the labels' shares (the sample holds equally many of each).
-
-The labelled vectors are broadcast: 2 * SAMPLE rows of DIMS numbers, whatever the corpus.
-Nothing but the text enters a score. A null text is an empty text; empty texts have no
+A text becomes a bag of terms: its words and its runs of four bytes, lower case and hashed into
+WORDS and RUNS buckets; pairs of character kinds (each ASCII mark is a kind of its own; letters
+are kinds by case), runs of coarser kinds in fours, and graded terms for how much of the text
+repeats itself (words, word triples, lines, neighbours). Term weights are square roots of
+relative counts, times a rarity weight; a truncated singular value decomposition of the
+labelled sample's bags gives the latent directions. Every text, whole, is projected on them,
+scaled to length one, and compared with *all* labelled vectors by exact cosine products in
+blocks; the NEIGHBOURS nearest vote with weights that rise with their similarity, corrected for
+the labels' shares (the sample holds equally many of each).
+
+The labelled vectors are broadcast: 2 * SAMPLE rows of DIMS numbers, whatever the corpus. The fit
+reads SAMPLE rows of each label at most and SAMPLE_BYTES of text (see sampling.labelled_sample).
+Nothing but the text enters a score; columns of any name are ignored by ``scores`` and stay as
+they are in ``keep``. An empty table gives an empty result; a very long text is scored whole. A null text is an empty text; empty texts have no
 terms and get the share of label 1. Without labels of both classes every score is that
 share (0 if there are no labels). Null ids are scored and not held out; rows that repeat
-are scored each; ties between neighbours fall to the sample's order by id.
+are scored each; of neighbours that are equally near the edge takes the first in the sample's order by id.
 """
 
 from __future__ import annotations
@@ -38,7 +41,10 @@ KINDS = 6 + len(_MARKS)  # lower, upper, digit, blank, newline, beyond ASCII
 COARSE = 7  # the six and any mark
 GRADES = 8
 REPEATS = ("words", "triples", "lines", "next")
-TERMS = KINDS * KINDS + COARSE**4 + GRADES * len(REPEATS)
+#: Buckets of words and of runs of bytes, and what a count there weighs beside the others.
+WORDS, RUNS, LEXICAL = 1 << 11, 1 << 11, 0.15
+_AT = (KINDS * KINDS, KINDS * KINDS + COARSE**4, KINDS * KINDS + COARSE**4 + GRADES * len(REPEATS))
+TERMS = _AT[2] + WORDS + RUNS
 
 
 def _kinds() -> np.ndarray:
@@ -50,6 +56,32 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _lexical(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each word, bucket of each run of four bytes) of a text in bytes, A-Z as a-z."""
+    low = _LOWER[x]
+    blank = _BLANK[low]
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # the place of each byte in its word; what lies before the first word is blank
+    word = np.maximum(0, np.cumsum(np.bincount(start, minlength=len(low))) - 1)
+    at = (np.arange(len(low)) - start[word]).astype(np.uint64)
+    # a word's hash is a sum over its bytes and their places
+    h = (low.astype(np.uint64) + np.uint64(1)) * _MIX
+    h ^= (at + np.uint64(1)) * _STEP
+    h *= _STEP
+    h ^= h >> np.uint64(29)
+    h[blank] = 0
+    words = (np.add.reduceat(h, start) * _MIX) >> np.uint64(64 - 11)
+    four = np.lib.stride_tricks.sliding_window_view(low, 4).astype(np.uint64) if len(low) > 3 else np.empty((0, 4), np.uint64)
+    runs = ((four[:, 0] | four[:, 1] << np.uint64(8) | four[:, 2] << np.uint64(16) | four[:, 3] << np.uint64(24)) * _MIX) >> np.uint64(64 - 11)
+    return words.astype(np.int64), runs.astype(np.int64)
 
 
 def _repeats(text: bytes) -> tuple[float, ...]:
@@ -81,25 +113,38 @@ def bags(texts: list[str | None]) -> np.ndarray:
     for k, x in enumerate(raw):
         if not x.strip():
             continue
-        kind = _KIND[np.frombuffer(x, np.uint8)]
+        code = np.frombuffer(x, np.uint8)
+        kind = _KIND[code]
         coarse = np.minimum(kind, COARSE - 1)
         if len(kind) > 1:
             pairs = np.bincount(kind[:-1] * KINDS + kind[1:], minlength=KINDS * KINDS)
-            out[k, : KINDS * KINDS] = pairs / (len(kind) - 1)
+            out[k, : _AT[0]] = pairs / (len(kind) - 1)
         # runs of one coarse kind count once: the text's shape
         shape = coarse[np.concatenate([[True], coarse[1:] != coarse[:-1]])]
         if len(shape) > 3:
             at = ((shape[:-3] * COARSE + shape[1:-2]) * COARSE + shape[2:-1]) * COARSE + shape[3:]
-            out[k, KINDS * KINDS : KINDS * KINDS + COARSE**4] = np.bincount(at, minlength=COARSE**4) / (len(shape) - 3)
+            out[k, _AT[0] : _AT[1]] = np.bincount(at, minlength=COARSE**4) / (len(shape) - 3)
         for j, v in enumerate(_repeats(x)):
             # a graded value is shared by its two nearest grades
             g = min(v, 1.0) ** 0.5 * (GRADES - 1)
             low = min(int(g), GRADES - 2)
-            base = KINDS * KINDS + COARSE**4 + j * GRADES + low
+            base = _AT[1] + j * GRADES + low
             out[k, base], out[k, base + 1] = (1 - (g - low)) * 0.25, (g - low) * 0.25
+        for found, base, size in zip(_lexical(code), (_AT[2], _AT[2] + WORDS), (WORDS, RUNS)):
+            if len(found):
+                out[k, base : base + size] = np.bincount(found, minlength=size) * (LEXICAL / len(found))
     return np.sqrt(out)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the columns of its k greatest numbers; of equal ones at the edge the first columns."""
+    near = np.argpartition(-cos, k - 1, 1)[:, :k]
+    edge = np.take_along_axis(cos, near, 1).min(1, keepdims=True)
+    for row in np.flatnonzero((cos >= edge).sum(1) > k):
+        near[row] = np.argsort(-cos[row], kind="stable")[:k]
+    return near
+
+
 class Model:
     def __init__(self, idf, mean, axes, vectors, labels, shares):
         self.idf, self.mean, self.axes, self.vectors, self.labels, self.shares = idf, mean, axes, vectors, labels, shares
@@ -119,7 +164,7 @@ class Model:
             x = bags(texts[a : a + BLOCK])
             some = x.any(1)
             cos = self.project(x) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, 1)[:, :k]
+            near = nearest(cos, k)
             v = np.maximum(np.take_along_axis(cos, near, 1), 1e-3) ** POWER * weight[near]
             p = (v * self.labels[near]).sum(1) / v.sum(1)
             out[a : a + BLOCK] = np.where(some, np.clip(p, 0, 1), share)
@@ -149,17 +194,21 @@ def fit(texts: list[str], labels: list[int], shares: dict[int, float]) -> Model:
     return model
 
 
+def _scored(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Scores of a batch, by slices of whole texts with about SLICE_BYTES characters."""
+    scores, start, size = [np.empty(0)], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SLICE_BYTES or k == len(texts) - 1:
+            scores.append(model.score(texts[start : k + 1]))
+            start, size = k + 1, 0
+    return np.concatenate(scores)
+
+
 def _scorer(model):
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores, start, size = [], 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size >= SLICE_BYTES or k == len(texts) - 1:
-                    scores.append(model.value.score(texts[start : k + 1]))
-                    start, size = k + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(model.value, batch.column(1).to_pylist()))], ["id", "score"])
 
     return run
 
@@ -185,8 +234,7 @@ def _filterer(model, text_col: str, threshold: float):
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            scores = [model.value.score(texts[k : k + BLOCK]) for k in range(0, len(texts), BLOCK)]
-            yield batch.filter(pa.array(np.concatenate(scores) >= threshold if scores else [], pa.bool_()))
+            yield batch.filter(pa.array(_scored(model.value, texts) >= threshold))
 
     return run
 

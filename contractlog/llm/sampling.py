@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that a sample of one label may hold; its first text is taken whatever its size.
+SAMPLE_BYTES = 1 << 24
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt: crc32 of the id as text leaves 2 modulo 4. A null id isn't held out."""
@@ -19,14 +22,21 @@ def class_shares(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> d
     return {k: v / total for k, v in counts.items()}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label) of at most per_label rows of each label, the first by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int | None = None
+) -> DataFrame:
+    """(id, text, label) of at most per_label rows of each label, the first by a hash of the id, and of most_bytes of text.
 
     The ids of the sample are at most 2 * per_label rows: they may be broadcast at any size.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("id"))
     parts = [rows.where(F.col("label") == k).orderBy("h", "id").limit(per_label) for k in (0, 1)]
-    chosen = parts[0].unionAll(parts[1]).drop("h")
+    chosen = parts[0].unionAll(parts[1])
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")
+    found = texts.join(F.broadcast(chosen), "id").withColumn("b", F.octet_length("text").cast("long"))
+    # per_label rows a label, but for ids that repeat
+    before = Window.partitionBy("label").orderBy("h", "id", "b").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum("b").over(before), F.lit(0)) + F.col("b")
+    fits = (upto <= (SAMPLE_BYTES if most_bytes is None else most_bytes)) | (upto == F.col("b"))
+    return found.withColumn("fits", fits).where("fits").select("id", "text", "label")
