@@ -4,16 +4,17 @@ A text is lower-cased and cut into words at white space and sentence marks. The
 n-grams of a word (3 to 5 code points, with the word's edges) are hashed into BUCKETS
 embeddings of DIM numbers. A bag is a window of WINDOW words; windows overlap and
 cover the whole text. A bag's vector is the average of its n-grams' embeddings, and a linear
-softmax gives its two classes; embeddings and softmax are trained together by Adagrad. So a
-misspelling that no text of the sample has still shares most of its n-grams' embeddings.
+softmax gives its two classes; embeddings and softmax are trained together by Adagrad, MEMBERS
+times from different beginnings, and the logits are averaged. So a misspelling that no text of the sample has still shares most of its n-grams' embeddings.
 
 Labels belong to texts, not to windows: training runs in rounds, and from the second round on
 a toxic text lends its label only to its highest windows. A text's score is that of its
 highest window, which one logistic curve, fitted to texts that the rounds didn't see, turns
 into the probability of the label among all texts.
 
-The fit reads at most SAMPLE texts of each label, on the driver; scoring reads every text
-whole, in Arrow batches. A null or empty text is scored as a text without n-grams: by the
+The fit reads at most SAMPLE texts of each label (and sampling.SAMPLE_BYTES of them), on the driver; scoring reads every text
+whole, in Arrow batches; an empty table gives an empty result, and columns of any name are
+ignored. A null or empty text is scored as a text without n-grams: by the
 label's share. Without labels of both classes every score is the share of label 1 (0 if
 there are no labels). Null ids are scored and not held out; repeated rows are scored each.
 """
@@ -30,13 +31,15 @@ from contractlog.llm.sampling import class_shares, held_out, labelled_sample
 
 #: Labelled texts of each label that the fit reads at most.
 SAMPLE = 1200
-BUCKETS, DIM = 1 << 15, 8
+BUCKETS, DIM = 1 << 15, 16
 LENGTHS = (3, 4, 5)
-WINDOW, STEP = 2, 1
+WINDOW, STEP = 3, 1
 ROUNDS, STEPS, BAGS = 3, 160, 512
 RATE = 0.4
 #: Share of a bag's n-grams that a training step sees: what a word is must not hang on few of them.
-SEEN = 0.5
+SEEN = 0.7
+#: Trainings from different beginnings whose logits are averaged.
+MEMBERS = 5
 THRESHOLD = 0.3
 #: Characters that are scored at once.
 SLICE_CHARS = 1 << 20
@@ -71,8 +74,8 @@ def ngrams(texts: list[str | None]):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         buckets.append((h >> np.uint64(64 - 15)).astype(np.int32))
-        words.append(word[at + 1])
-    return np.concatenate([np.empty(0, np.int32), *buckets]), np.concatenate([np.empty(0, np.int64), *words]), first
+        words.append(word[at + 1].astype(np.int32))
+    return np.concatenate([np.empty(0, np.int32), *buckets]), np.concatenate([np.empty(0, np.int32), *words]), first
 
 
 def windows(first: np.ndarray):
@@ -90,66 +93,61 @@ def windows(first: np.ndarray):
 
 
 class Model:
-    """weight: each bucket's part in the difference of the two classes' logits (embedding times softmax)."""
+    """weight: each bucket's part in the difference of the two classes' logits (embedding times softmax); curve: of facts().
 
-    def __init__(self, weight: np.ndarray, bias: float, slope: float, offset: float, share: float):
-        self.weight, self.bias, self.slope, self.offset, self.share = weight, bias, slope, offset, share
+    reach: the least and the greatest logarithm of windows that the curve has seen; beyond it counts as at its end.
+    """
 
-    def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The logit of each text's highest window; nan without words."""
+    def __init__(self, weight: np.ndarray, bias: float, curve: np.ndarray, share: float, reach: tuple[float, float] = (0.0, np.inf)):
+        self.weight, self.bias, self.curve, self.share, self.reach = weight, bias, curve, share, reach
+
+    def facts(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text its highest window's logit, logarithms of the sum of those above 0 and of their number, and 1; nan without words."""
         bucket, word, first = ngrams(texts)
         total = np.bincount(word, self.weight[bucket], first[-1]) if len(word) else np.zeros(first[-1])
         count = np.bincount(word, minlength=first[-1])
         total, count = (np.concatenate([[0], np.cumsum(x)]) for x in (total, count))
         s, e, t = windows(first)
-        out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, t, (total[e] - total[s]) / np.maximum(1, count[e] - count[s]) + self.bias)
-        out[np.isinf(out)] = np.nan
+        logit = (total[e] - total[s]) / np.maximum(1, count[e] - count[s]) + self.bias
+        high = np.full(len(texts), -np.inf)
+        np.maximum.at(high, t, logit)
+        above = np.log1p(np.bincount(t, np.maximum(0, logit), len(texts)))
+        many = np.clip(np.log(np.maximum(1, np.bincount(t, minlength=len(texts)))), *self.reach)
+        out = np.stack([high, above, many, np.ones(len(texts))], 1)
+        out[np.isinf(high)] = np.nan
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weight is None:
             return np.full(len(texts), self.share)
-        x = self.highest(texts)
-        return np.where(np.isnan(x), self.share, 1 / (1 + np.exp(-np.clip(self.slope * np.nan_to_num(x) + self.offset, -40, 40))))
+        x = self.facts(texts)
+        return np.where(np.isnan(x[:, 0]), self.share, 1 / (1 + np.exp(-np.clip(np.nan_to_num(x) @ self.curve, -40, 40))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y) over x, by weighted Newton steps with a little shrinkage."""
-    mean, dev = float(np.average(x, weights=w)), float(np.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w))) or 1.0
-    z = np.stack([(x - mean) / dev, np.ones_like(x)], 1)
-    b = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Coefficients of P(y) over x, whose last column is 1, by weighted Newton steps with a little shrinkage."""
+    mean = np.average(x, axis=0, weights=w)
+    dev = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
+    mean[-1], dev[-1] = 0.0, 1.0
+    same = dev < 1e-9  # a column that doesn't vary says nothing
+    dev[same] = 1.0
+    z = np.where(same & (np.arange(x.shape[1]) < x.shape[1] - 1), 0.0, (x - mean) / dev)
+    b, shrink = np.zeros(z.shape[1]), np.append(np.full(z.shape[1] - 1, 1e-3), 1e-9)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (w * (p - y)) + np.array([1e-3, 0]) * b
-        h = (z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag([1e-3, 1e-9])
+        g = z.T @ (w * (p - y)) + shrink * b
+        h = (z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(shrink)
         step = np.linalg.solve(h, g)
         b -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0] / dev), float(b[1] - b[0] * mean / dev)
+    b = b / dev
+    b[-1] -= b[:-1] @ mean[:-1]
+    return b
 
 
-def fit(texts: list[str], labels: list[int], shares: dict[int, float], seed: int = 1) -> Model:
-    """The model of at most 2 * SAMPLE labelled texts; shares: of the labels among all texts."""
-    y = np.array(labels)
-    share = float(shares.get(1, 0.0))
-    if len(set(labels)) < 2:
-        return Model(None, 0.0, 0.0, 0.0, share)
-    rng = np.random.default_rng(seed)
-    judge = rng.random(len(y)) < 0.3  # these texts only fit the curve
-    if len(set(y[judge])) < 2 or len(set(y[~judge])) < 2:
-        judge = np.zeros(len(y), bool)
-    learn = np.nonzero(~judge)[0]
-    bucket, word, first = ngrams([texts[k] for k in learn])
-    order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    at = np.searchsorted(word[order], np.arange(first[-1] + 1))  # n-grams before each word
-    s, e, t = windows(first)
-    a, b = at[s], at[e]
-    full = b > a
-    a, b, t = a[full], b[full], t[full]
-    toxic = y[learn][t] == 1
+def _trained(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray, toxic: np.ndarray, texts: int, rng) -> tuple[np.ndarray, float]:
+    """Weight of each bucket and bias, from windows (n-grams a to b of a text t) and whether their text is toxic."""
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -185,20 +183,45 @@ def fit(texts: list[str], labels: list[int], shares: dict[int, float], seed: int
         weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
         total = np.concatenate([[0], np.cumsum(weight[bucket])])
         value = (total[b] - total[a]) / (b - a)
-        best = np.full(len(learn), -np.inf)
+        best = np.full(texts, -np.inf)
         np.maximum.at(best, t, value)
         chosen = np.nonzero(toxic & (value >= best[t] - 1e-12))[0]
         level = np.sort(value[others])[-max(1, len(others) // 50)]
         hard = others[value[others] >= level]
-    model = Model(weight, float(bias[1] - bias[0]), 1.0, 0.0, share)
+    return weight, float(bias[1] - bias[0])
+
+
+def fit(texts: list[str], labels: list[int], shares: dict[int, float], seed: int = 1) -> Model:
+    """The model of at most 2 * SAMPLE labelled texts; shares: of the labels among all texts."""
+    y = np.array(labels)
+    share = float(shares.get(1, 0.0))
+    if len(set(labels)) < 2:
+        return Model(None, 0.0, None, share)
+    rng = np.random.default_rng(seed)
+    judge = rng.random(len(y)) < 0.3  # these texts only fit the curve
+    if len(set(y[judge])) < 2 or len(set(y[~judge])) < 2:
+        judge = np.zeros(len(y), bool)
+    learn = np.nonzero(~judge)[0]
+    bucket, word, first = ngrams([texts[k] for k in learn])
+    order = np.argsort(word, kind="stable")
+    bucket = bucket[order]
+    at = np.searchsorted(word[order], np.arange(first[-1] + 1))  # n-grams before each word
+    s, e, t = windows(first)
+    a, b = at[s], at[e]
+    full = b > a
+    a, b, t = a[full], b[full], t[full]
+    toxic = y[learn][t] == 1
+    members = [_trained(bucket, a, b, t, toxic, len(learn), np.random.default_rng((seed, k))) for k in range(MEMBERS)]
+    weight, bias = np.mean([w for w, _ in members], 0), float(np.mean([x for _, x in members]))
+    model = Model(weight, bias, np.array([1.0, 0.0, 0.0, 0.0]), share)
     curve = np.nonzero(judge)[0] if judge.any() else learn
-    x = model.highest([texts[k] for k in curve])
-    ok = ~np.isnan(x)
+    x = model.facts([texts[k] for k in curve])
+    ok = ~np.isnan(x[:, 0])
     if len(set(y[curve][ok])) < 2:
         return model
     w = np.where(y == 1, shares.get(1, 0.5) / max(1, (y[curve] == 1).sum()), shares.get(0, 0.5) / max(1, (y[curve] == 0).sum()))[curve] * len(curve)
-    slope, offset = _logistic(x[ok], y[curve][ok].astype(float), w[ok])
-    model.slope, model.offset = max(slope, 1e-3), offset
+    model.curve = _logistic(x[ok], y[curve][ok].astype(float), w[ok])
+    model.reach = (float(x[ok][:, 2].min()), float(x[ok][:, 2].max()))
     return model
 
 
