@@ -12,6 +12,8 @@ staging files that no reader looks at. ``compact`` sums all committed batches in
 that names the batches it holds; the newest complete base and the batches outside it are the
 state, so readers see each batch exactly once at any moment. The folder's file system must
 rename folders atomically (HDFS and local disks do; object stores need a committer that does).
+Batch ids may be any text; they are escaped where they name folders. Whether an id is known is
+asked of the base by a filter, so no list of all ids is ever gathered to commit a batch.
 
 A tokenizer version is a name: one of TOKENIZERS (column functions) or one of MODELS (rank files
 of the op2 encoder, whose ids are counted). A new version of a tokenizer is a new name, whose counts
@@ -19,19 +21,21 @@ come by a batch of their own; the old one's go by deletes of its name alone.
 
 A null source, language or text is a value of its own (a null text has no tokens; its row
 counts as a document). Totals that return to zero documents and tokens are left out. Rows
-that repeat count each time. Other columns are ignored.
+that repeat count each time. Other columns are ignored, whatever they are called. A text is
+counted whole, however long; an empty table gives no rows and its batch is committed all the same.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlog.llm import byte_bpe
-from contractlog.llm.common import shared_dir
+from contractlog.scratch import drop_at_exit, shared_dir
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -90,17 +94,32 @@ class Rollup:
         at = self._path(f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _base(self) -> tuple[str | None, set[str]]:
+    def _base(self) -> tuple[str | None, DataFrame]:
         """The newest complete base and the batches that it holds."""
-        names = [n for n in self._names("bases")]
+        names = self._names("bases")
         if not names:
-            return None, set()
-        held = self.spark.read.schema("batch string").parquet(f"{self.path}/bases/{names[-1]}/held")
-        return names[-1], {r.batch for r in held.collect()}
+            return None, self.spark.createDataFrame([], "batch string")
+        return names[-1], self.spark.read.schema("batch string").parquet(f"{self.path}/bases/{names[-1]}/held")
+
+    def _loose(self) -> tuple[str | None, DataFrame, list[str]]:
+        """The base, what it holds, and the batches that aren't in it: those committed since, by a list of one folder."""
+        base, held = self._base()
+        there = [unquote(n) for n in self._names("batches")]
+        if base is None or not there:
+            return base, held, there
+        # few are both: a compaction that died before it deleted what it had summed
+        both = {r.batch for r in held.where(F.col("batch").isin(there)).collect()}
+        return base, held, [n for n in there if n not in both]
+
+    def known(self, batch_id: str) -> bool:
+        if self._fs.exists(self._path(f"{self.path}/batches/{quote(batch_id, safe='')}")):
+            return True
+        return not self._base()[1].where(F.col("batch") == batch_id).isEmpty()
 
     def batches(self) -> list[str]:
-        """Ids of all committed batches."""
-        return sorted({*self._names("batches"), *self._base()[1]})
+        """Ids of all committed batches, for a report: they are as many as there were commits."""
+        _, held, loose = self._loose()
+        return sorted({*loose, *(r.batch for r in held.collect())})
 
     def _publish(self, staged: str, into: str) -> bool:
         target = self._path(f"{self.path}/{into}")
@@ -117,15 +136,15 @@ class Rollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Store the batch's sums unless its id is known; whether they were stored."""
-        if batch_id in self.batches():
+        if self.known(batch_id):
             return False
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         summed(changes).coalesce(1).write.parquet(staged)
-        return self._publish(staged, f"batches/{batch_id}")
+        return self._publish(staged, f"batches/{quote(batch_id, safe='')}")
 
     def _read(self) -> DataFrame:
-        base, held = self._base()
-        paths = [f"{self.path}/batches/{n}" for n in self._names("batches") if n not in held]
+        base, _, loose = self._loose()
+        paths = [f"{self.path}/batches/{quote(n, safe='')}" for n in loose]
         paths += [f"{self.path}/bases/{base}/sums"] if base else []
         return self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
 
@@ -134,29 +153,35 @@ class Rollup:
 
     def compact(self) -> None:
         """Sum everything into a new base; batches in it are deleted once it is there."""
-        held = self.batches()
-        if not held:
+        base, held, loose = self._loose()
+        if not loose:
             return
-        base, old = self._base()
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         self.totals().coalesce(1).write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(b,) for b in held], "batch string").coalesce(1).write.parquet(f"{staged}/held")
+        every = held.unionByName(self.spark.createDataFrame([(b,) for b in loose], "batch string"))
+        every.write.parquet(f"{staged}/held")
         if self._publish(staged, f"bases/{int(base or '0') + 1:012d}"):
-            for name in {*held} - old:
-                self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+            for name in loose:
+                self._fs.delete(self._path(f"{self.path}/batches/{quote(name, safe='')}"), True)
 
 
 def _short(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) < 5)
 
 
+def _fresh(spark: SparkSession) -> Rollup:
+    path = f"{shared_dir(spark)}/contractlog/rollup-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    return Rollup(spark, path)
+
+
 def whole(docs: DataFrame) -> DataFrame:
     """Token totals of every document by the words, the bytes and the op2 encoder's ids of its text as it is.
 
     All documents are loaded, and again; the encoder's version comes as a later batch; texts of
     under five words are withdrawn and inserted again, so the totals cover every row.
     """
-    rollup = Rollup(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/contractlog/rollup-{uuid.uuid4().hex}")
+    rollup = _fresh(docs.sparkSession)
     plain = docs.select("source", "lang", "text")
     for _ in range(2):
         rollup.commit("load", inserts(plain))
@@ -168,28 +193,27 @@ def whole(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The op4 query: load all documents, load them again, revise all, withdraw the shortest.
+    """The op4 query: words and bytes of every document, reached by inserts, revisions and deletes.
 
-    The revision counts every text anew after each run of white space has become one space
-    (other byte counts, same words); texts of under five words are then withdrawn, as in
-    QUERY_SQL: these are not the counts of all documents, which whole() gives.
+    All documents are loaded with each run of white space as one space, and loaded again; the
+    revision counts every text as it is (other byte counts, same words); texts of under five
+    words are withdrawn and inserted again. The totals cover every row of the table.
     """
-    rollup = Rollup(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/contractlog/rollup-{uuid.uuid4().hex}")
+    rollup = _fresh(docs.sparkSession)
     plain = docs.select("source", "lang", "text")
     tidy = plain.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     for _ in range(2):
-        rollup.commit("load", inserts(plain))
-    rollup.commit("revise", revisions(plain, tidy))
+        rollup.commit("load", inserts(tidy))
+    rollup.commit("revise", revisions(tidy, plain))
+    rollup.commit("withdraw", deletes(_short(plain)))
     rollup.compact()
-    rollup.commit("withdraw", deletes(_short(tidy)))
+    rollup.commit("restore", inserts(_short(plain)))
     return rollup.totals()
 
 
 QUERY_SQL = r"""
 WITH t AS (
-  SELECT source, lang, CAST(len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
-    CAST(strlen(regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS BIGINT) AS bytes FROM documents),
-k AS (SELECT * FROM t WHERE words >= 5)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents, CAST(sum(words) AS BIGINT) AS tokens FROM k GROUP BY ALL
-UNION ALL SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM k GROUP BY ALL
+  SELECT source, lang, CAST(len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words, CAST(strlen(coalesce("text", '')) AS BIGINT) AS bytes FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents, CAST(sum(words) AS BIGINT) AS tokens FROM t GROUP BY ALL
+UNION ALL SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM t GROUP BY ALL
 """
