@@ -12,7 +12,10 @@ only a part of a character's bytes has the span of the whole character. ``decode
 back into bytes with the reversed table: a character split over tokens is whole again in
 ``decoded``; bytes that are no UTF-8 become U+FFFD in ``decoded_text`` only.
 
-A null text is an empty text, with no ids; null ids decode to nothing. Texts are never cut:
+The rank file is read once, on the driver, and broadcast (some 1 MB, whatever the corpus); texts are
+cut by the vocabulary's own pattern before anything is merged.
+
+A null text is an empty text, with no ids; an empty table gives an empty result; null ids decode to nothing. Texts are never cut:
 a batch is handled in slices of about SLICE_BYTES bytes, but always by whole texts.
 Ids outside the vocabulary raise. Columns of the input named like a result are replaced.
 """
@@ -49,9 +52,23 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def default_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def parse_ranks(body: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in body.splitlines() if line.strip())}
+
+
+def rank_file(path: str | None) -> bytes:
+    with open(path or default_ranks(), "rb") as f:
+        return f.read()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return parse_ranks(rank_file(path))
 
 
 def split_below(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -85,23 +102,24 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
+def tokenizer(body: bytes, pattern: str):
     """The model of a rank file, once for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    ranks = read_ranks(path)
+    ranks = parse_ranks(body)
     # without the library's cache of words: most words here are met once
     made = Tokenizer(models.BPE(vocab=spelling(ranks), merges=merges_of(ranks), ignore_merges=True, cache_capacity=0))
-    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    cut = pre_tokenizers.Split(Regex(pattern), "isolated")
+    made.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> pa.Array:
+def token_bytes(body: bytes) -> pa.Array:
     """The bytes of each id, from its byte characters by the reversed table; null where there is no such id."""
     back = {c: b for b, c in enumerate(byte_characters())}
-    vocab = spelling(read_ranks(path))
+    vocab = spelling(parse_ranks(body))
     out: list[bytes | None] = [None] * (max(vocab.values()) + 1)
     for token, k in vocab.items():
         out[k] = bytes(back[c] for c in token)
@@ -140,10 +158,10 @@ def _plus(df: DataFrame, drop: set[str], *fields: tuple[str, T.DataType]) -> T.S
     return T.StructType([f for f in df.schema.fields if f.name not in drop] + [T.StructField(n, t, False) for n, t in fields])
 
 
-def _encoder(path: str, text_col: str, offsets: bool, drop: set[str]):
+def _encoder(ranks, pattern: str, text_col: str, offsets: bool, drop: set[str]):
     def run(batches):
-        model = tokenizer(path)
-        length = np.asarray(pc.fill_null(pc.binary_length(token_bytes(path)), 0))
+        model = tokenizer(ranks.value, pattern)
+        length = np.asarray(pc.fill_null(pc.binary_length(token_bytes(ranks.value)), 0))
         for batch in batches:
             for part, texts in _slices(batch, text_col):
                 ids = [np.array(e.ids, np.int32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -158,20 +176,20 @@ def _encoder(path: str, text_col: str, offsets: bool, drop: set[str]):
     return run
 
 
-def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, offsets: bool = True) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, offsets: bool = True, pattern: str | None = None) -> DataFrame:
     """df with ids array<int> and, with offsets, starts and ends array<int> (characters of the text)."""
     small_batches(df.sparkSession)
-    path, ints = ranks_path or default_ranks(), T.ArrayType(T.IntegerType(), False)
+    ranks, ints = df.sparkSession.sparkContext.broadcast(rank_file(ranks_path)), T.ArrayType(T.IntegerType(), False)
     fields = [("ids", ints), *([("starts", ints), ("ends", ints)] if offsets else [])]
     drop = {n for n, _ in fields}
     if text_col in drop:
         raise ValueError(f"the text column can't be named {text_col}")
-    return df.mapInArrow(_encoder(path, text_col, offsets, drop), _plus(df, drop, *fields))
+    return df.mapInArrow(_encoder(ranks, pattern or default_pattern(), text_col, offsets, drop), _plus(df, drop, *fields))
 
 
-def _decoder(path: str, ids_col: str, text: bool, drop: set[str]):
+def _decoder(ranks, ids_col: str, text: bool, drop: set[str]):
     def run(batches):
-        token = token_bytes(path)
+        token = token_bytes(ranks.value)
         for batch in (b.slice(k, DECODE_ROWS) for b in batches for k in range(0, b.num_rows, DECODE_ROWS)):
             lists = pc.fill_null(batch.column(batch.schema.get_field_index(ids_col)), [])
             ids = lists.flatten()
@@ -199,7 +217,8 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str | None = None, t
     small_batches(df.sparkSession)
     fields = [("decoded", T.BinaryType()), *([("decoded_text", T.StringType())] if text else [])]
     drop = {n for n, _ in fields}
-    return df.mapInArrow(_decoder(ranks_path or default_ranks(), ids_col, text, drop), _plus(df, drop, *fields))
+    ranks = df.sparkSession.sparkContext.broadcast(rank_file(ranks_path))
+    return df.mapInArrow(_decoder(ranks, ids_col, text, drop), _plus(df, drop, *fields))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlog.llm import byte_bpe, catalog, chat_format, mixing, token_rollup
-from contractlog.llm.common import shared_dir
+from contractlog.scratch import shared_dir
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n  x", "naïve café 中文字 😀👩‍👩‍👧", "don't we'll I'M 's", "a" * 5000, "é" * 3000, " \x85  　x", "0123456789" * 50, "<|endoftext|>", "\x00\x01", "ﷺ�"]
@@ -119,11 +119,17 @@ def test_rollup_is_idempotent(spark):
     assert rollup.commit("3", token_rollup.deletes(docs.where("lang is null"))) and ("a", None, "bytes-1") not in state()
     rollup.compact()
     rollup.compact()
-    assert rollup.batches() == ["1", "2", "3"] and state()[("a", "en", "words-1")] == (2, 6)
+    assert rollup.batches() == ["1", "2", "3"] and rollup.known("2") and not rollup.known("4") and state()[("a", "en", "words-1")] == (2, 6)
     staged = f"{rollup.path}/staging/left-over"
     token_rollup.summed(token_rollup.inserts(docs)).write.parquet(staged)  # as of a commit that died
     assert state()[("a", "en", "words-1")] == (2, 6)
     assert rollup.commit("4", token_rollup.inserts(docs.limit(0))) and state()[("a", "en", "words-1")] == (2, 6)
+    odd = "5/../1 %2F ü"  # an id is a text, not a path
+    assert rollup.commit(odd, token_rollup.inserts(docs.limit(1))) and not rollup.commit(odd, token_rollup.inserts(docs))
+    after = state()
+    rollup.compact()
+    assert rollup.batches() == ["1", "2", "3", "4", odd] and not rollup.commit(odd, token_rollup.inserts(docs)) and state() == after
+    assert after[("a", "en", "words-1")] == (3, 8)
 
 
 def test_totals_cover_every_row(spark):
