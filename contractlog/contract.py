@@ -210,8 +210,7 @@ def load_contract(path: str) -> Contract:
 
 
 #: The contract of archive manifests.
-SEGMENT = parse_contract("""
-name: Segment
+SEGMENT_TEXT = """name: Segment
 key: segment
 fields:
   segment: str
@@ -220,4 +219,5 @@ fields:
   gz_bytes: {type: int, ge: 0}
   sha256: str
   rolled_at: datetime
-""")
+"""
+SEGMENT = parse_contract(SEGMENT_TEXT)

@@ -117,24 +117,32 @@ def _moment(number: Column) -> Column:
     return F.when((seconds >= FIRST_SECOND) & (seconds <= LAST_SECOND), F.round(seconds * 1000000).try_cast("long"))
 
 
+def _once(c: Column, f) -> Column:
+    """f of the column, which is computed once however often f uses it: expressions double in size with every use."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _spelt(micros: Column, pattern: str) -> Column:
     """A moment by a pattern, with its fraction if it has one, in UTC."""
-    at, part = F.timestamp_micros(micros), F.pmod(micros, F.lit(1000000))
-    fraction = F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise("")
-    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern), fraction, F.lit("Z"))
+
+    def one(m):
+        part = F.pmod(m, F.lit(1000000))
+        fraction = F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise("")
+        return F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_micros(m), F.current_timezone()), pattern), fraction, F.lit("Z"))
+
+    return _once(micros, one)
+
+
+CLOCK_RE = r"([0-9]{2}:[0-9]{2})(:[0-9]{2})?(\.[0-9]{1,9})?(Z|z|[+-][0-9]{2}:?[0-9]{2})?\z"
 
 
 def _clock(text: Column) -> Column:
-    """A time of day or what ends with one: seconds added, fractions of six digits or none, zones as Z or +hh:mm."""
-    out = F.regexp_replace(text, r"z\z", "Z")
-    out = F.regexp_replace(out, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2")
-    out = F.regexp_replace(out, r"[+-]00:00\z", "Z")
-    out = F.regexp_replace(out, r"((?:^|T)[0-9]{2}:[0-9]{2})(Z|[+-].*)?\z", "$1:00$2")
-    fraction = F.regexp_extract(out, r"\.([0-9]+)", 1)
-    six = F.rpad(F.left(fraction, F.lit(6)), 6, "0")
-    return F.when(fraction == "", out).when(six == "000000", F.regexp_replace(out, r"\.[0-9]+", "")).otherwise(
-        F.concat(F.substring_index(out, ".", 1), F.lit("."), six, F.regexp_extract(out, r"\.[0-9]+(.*)\z", 1))
-    )
+    """The time of day that a text ends with: seconds added, fractions of six digits or none, zones as Z or +hh:mm."""
+    piece = lambda k: F.regexp_extract(text, CLOCK_RE, k)
+    seconds = F.rpad(piece(2), 3, ":00")
+    fraction = F.regexp_replace(F.regexp_replace(piece(3), r"^(\.[0-9]{1,6}).*", "$100000"), r"^(\.[0-9]{6}).*", "$1")
+    zone = F.regexp_replace(F.upper(piece(4)), r"^([+-][0-9]{2}):?([0-9]{2})\z", "$1:$2")
+    return F.concat(piece(1), seconds, F.regexp_replace(fraction, r"^\.000000\z", ""), F.regexp_replace(zone, r"^[+-]00:00\z", "Z"))
 
 
 def typed(kind: Kind, given: Column | Seen) -> tuple[Column, Column]:
@@ -152,7 +160,7 @@ def typed(kind: Kind, given: Column | Seen) -> tuple[Column, Column]:
         return s, F.when(~is_text, wrong)
     if name == "int":
         plain = F.regexp_replace(F.regexp_replace(F.trim(s), r"\.0*\z", ""), "_", "")
-        no_fraction = is_num & (_number(v) == F.floor(_number(v)))
+        no_fraction = is_num & (_number(v) == F.rint(_number(v)))
         whole = F.when((k == "BIGINT") | no_fraction, F.try_variant_get(v, "$", "long")).when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
         whole = whole.when(is_text & s.rlike(INT_RE), plain.try_cast("long"))
         long = no_fraction | (is_text & s.rlike(INT_RE))
@@ -179,19 +187,16 @@ def typed(kind: Kind, given: Column | Seen) -> tuple[Column, Column]:
         return shown, F.when(~is_text | ~s.rlike(UUID_RE), wrong)
     number = F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL"), _number(v)).when(is_text & s.rlike(NUMBER_TEXT_RE), s.try_cast("double"))
     if name == "datetime":
-        given = F.regexp_replace(s, r"^(.{10})[ _t]", "$1T")
-        given = F.when(F.length(given) == 10, F.concat(given, F.lit("T00:00:00"))).otherwise(_clock(given))
-        fine = is_text & s.rlike(DATETIME_RE) & F.try_to_timestamp(F.substring(given, 1, 19)).isNotNull()
-        value = F.when(number.isNotNull(), _spelt(_moment(number), "yyyy-MM-dd'T'HH:mm:ss")).when(fine, given)
+        clock = F.when(F.length(s) == 10, F.lit("00:00:00")).otherwise(_clock(s))
+        given = _once(F.when(is_text & s.rlike(DATETIME_RE), F.concat(F.left(s, F.lit(10)), F.lit("T"), clock)), lambda x: F.when(F.try_to_timestamp(F.substring(x, 1, 19)).isNotNull(), x))
+        value = F.coalesce(_spelt(_once(number, _moment), "yyyy-MM-dd'T'HH:mm:ss"), given)
     elif name == "date":
-        day = F.regexp_replace(s, r"[Tt ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?\z", "")
-        fine = is_text & day.rlike(DATE_RE) & day.try_cast("date").isNotNull()
-        at = _moment(number)
-        midnight = F.pmod(at, F.lit(86400 * 1000000)) == 0
-        value = F.when(midnight, F.left(_spelt(at, "yyyy-MM-dd"), F.lit(10))).when(fine, day)
+        day = _once(F.when(is_text, F.regexp_replace(s, r"[Tt ]00:00(:00(\.0+)?)?(Z|[+-]00:?00)?\z", "")), lambda x: F.when(x.rlike(DATE_RE) & x.try_cast("date").isNotNull(), x))
+        midnight = _once(_once(number, _moment), lambda m: F.when(F.pmod(m, F.lit(86400 * 1000000)) == 0, m))
+        value = F.coalesce(F.left(_spelt(midnight, "yyyy-MM-dd"), F.lit(10)), day)
     elif name == "time":
-        in_day = (number >= 0) & (number < 86400)
-        value = F.when(in_day, _spelt(_moment(number), "HH:mm:ss")).when(is_text & s.rlike(TIME_RE), _clock(s))
+        in_day = _once(number, lambda x: F.when((x >= 0) & (x < 86400), _moment(x)))
+        value = F.coalesce(_spelt(in_day, "HH:mm:ss"), F.when(is_text & s.rlike(TIME_RE), _clock(s)))
     else:
         raise AssertionError(name)
     return value, F.when(value.isNull(), wrong)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 CELL, DETAIL = 80, 800
 #: What a bare cell may not be.
-NUMBER_RE = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
+NUMBER_RE = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 QUOTED_RE = r'[:"\\\[\]{},\x00-\x1F]|^[ \t]|[ \t]\z|^[-#]'
 #: Units of sizes.
 UNITS = {"": 1, "b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
@@ -42,10 +42,30 @@ def cell(text: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """A double as a cell: whole numbers below 1e16 without a point, what isn't finite as null."""
+    """A double as a cell: whole numbers below 1e16 without a point, what isn't finite as null.
+
+    Others have their shortest digits: plainly from 1e-4 to 1e16, beyond that as 1.5e+20, 1e-05.
+    """
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     whole = finite & (x == F.rint(x)) & (F.abs(x) < 1e16)
-    return F.when(~F.coalesce(finite, F.lit(False)), F.lit("null")).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    # the fewest digits that read back as the same number: 15, 16 or 17
+    tries = [F.format_string(f"%.{k}e", F.abs(x)) for k in (14, 15, 16)]
+    said = F.coalesce(*(F.when(t.cast("double") == F.abs(x), t) for t in tries[:2]), tries[2])
+    shown = F.when(finite & ~whole, F.element_at(F.transform(F.array(said), _laid_out), 1))
+    return F.when(~F.coalesce(finite, F.lit(False)), F.lit("null")).when(whole, x.cast("long").cast("string")).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(""), shown))
+
+
+def _laid_out(said: Column) -> Column:
+    """A number written as 1.250e+20, without a sign, in the notation's form."""
+    power = F.substring_index(said, "e", -1).cast("int")
+    digits = F.regexp_replace(F.replace(F.substring_index(said, "e", 1), F.lit("."), F.lit("")), r"(?<=[0-9])0+\z", "")
+    rest = lambda k: digits.substr(k, F.length(digits))
+    large = F.concat(F.rpad(F.left(digits, power + 1), power + 1, F.lit("0")), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), rest(power + 2))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), rest(F.lit(2)))).otherwise("")
+    size = F.abs(power).cast("string")
+    science = F.concat(F.left(digits, F.lit(1)), fraction, F.when(power < 0, F.lit("e-")).otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+    return F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(science)
 
 
 def row(*cells: Column) -> Column:

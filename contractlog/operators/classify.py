@@ -74,14 +74,19 @@ def truthy(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(empty, F.lit(False))
 
 
-def classify(parsed: DataFrame, contract: Contract, record: bool = False) -> DataFrame:
+def classify(parsed: DataFrame, contract: Contract, record: bool = False, only: str | None = None) -> DataFrame:
     """parse() with key, tombstone, reason (null if good) and readable (good but for the contract).
 
     The key is the coerced key's text, so ``1`` and ``1.0`` are one key of an int field.
-    record: the canonical record as well.
+    record: the canonical record as well. only: rows of this key, found before the contract is applied.
     """
-    rows, fields = checks.spread(parsed, contract)
     key_field = contract[contract.key]
+    if only is not None:
+        rows = parsed.withColumn("_raw_key", settled(checks.part(F.col("rec"), contract.key)))
+        spelt = checks.seen(F.col("_raw_key"))
+        found, _ = checks.field_columns(key_field, spelt)
+        parsed = rows.withColumn("_key", settled(F.coalesce(found.cast("string"), spelt.text))).where(F.col("_key") == only).drop("_raw_key", "_key")
+    rows, fields = checks.spread(parsed, contract)
     key, _ = checks.field_columns(key_field, fields[contract.key])
     has_key = F.coalesce(fields[contract.key].v.isNotNull(), F.lit(False))
     rows = rows.withColumn("_gone", settled(checks.part(F.col("rec"), "_deleted")))

@@ -12,34 +12,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contractlog import scratch
+
 
 def fold(versions: DataFrame, key: list[str] | str, order: Column, tombstone: Column, columns: list[str], valid: Column | None = None) -> DataFrame:
-    """(key columns, columns, last, pos) of live records; one exchange, by key."""
+    """(key columns, columns, last, pos) of live records. No task meets all versions of a key.
+
+    The last tombstone of each key is a maximum, combined before it is shuffled; versions
+    before it go by a join that adaptive execution can split; the rest is an aggregate that is
+    combined before it is shuffled as well. So a key with a third of the log costs no more than
+    others. versions is read twice: settle it first (see contractlog.scratch) if it is costly.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     rows = versions.withColumn("_at", order).withColumn("_gone", tombstone).withColumn("_fine", F.lit(True) if valid is None else valid)
-    rows = rows.where(F.col("_gone") | F.col("_fine")).select(*keys, *[c for c in columns if c not in keys], "_at", "_gone")
-    last_gone = F.max(F.when(F.col("_gone"), F.col("_at"))).over(Window.partitionBy(*keys))
-    live = rows.withColumn("_cut", last_gone).where(~F.col("_gone") & (F.col("_cut").isNull() | (F.col("_at") > F.col("_cut"))))
-    return _latest(live, keys, columns)
-
-
-def _latest(live: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    cuts = rows.where("_gone").groupBy(*keys).agg(F.max("_at").alias("_cut"))
+    live = rows.where(~F.col("_gone") & F.col("_fine")).join(cuts, keys, "left").where(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
     by = live.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_at").alias("_rec"), F.max("_at").alias("last"), F.min("_at").alias("pos"))
     return by.select(*keys, *[F.col(f"_rec.{c}").alias(c) for c in columns if c not in keys], "last", "pos")
 
 
-def fold_hot(versions: DataFrame, key: list[str] | str, order: Column, tombstone: Column, columns: list[str], valid: Column | None = None) -> DataFrame:
-    """fold() where a few keys may hold much of the log: no task meets all versions of a key.
+def numbered(rows: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """rows with their place, from 1, in an order that no two share: ranges are sorted apart and then counted.
 
-    The last tombstone of each key is a maximum, combined before it is shuffled; versions
-    before it go by a join that adaptive execution can split; the rest is an aggregate that
-    is combined before it is shuffled as well.
+    The ranges are settled before they are counted, as a second sampling could cut them otherwise.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    rows = versions.withColumn("_at", order).withColumn("_gone", tombstone).withColumn("_fine", F.lit(True) if valid is None else valid)
-    cuts = rows.where("_gone").groupBy(*keys).agg(F.max("_at").alias("_cut"))
-    live = rows.where(~F.col("_gone") & F.col("_fine")).join(cuts, keys, "left").where(F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
-    return _latest(live, keys, columns)
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order)
+    placed = scratch.settle(placed.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % F.lit(1 << 33)), "ranges")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    base = counts.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return placed.join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + F.col("_nth") + 1).cast("long")).drop("_part", "_nth", "_base")
 
 
 def last_versions(versions: DataFrame, key: str, order: Column, tombstone: Column, valid: Column) -> DataFrame:

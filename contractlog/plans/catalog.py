@@ -1,20 +1,24 @@
 """Registry of the record-log queries and of the SQL that each must equal.
 
-Every query runs over whole tables. Queries that only the driver can answer (contract
-reports, discovery) have no SQL where there is nothing in the tables to compute.
+Every query runs over whole tables and has its SQL.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contractlog import scratch
+from contractlog import present, scratch
 from contractlog.contract import Contract, Field, Kind, parse_contract
 from contractlog.functions import checks, text
 from contractlog.operators import changes, classify, fold, maintenance
 from contractlog.plans import logs
 from contractlog.plans.logs import table
+from contractlog.storage import open_store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,8 +57,8 @@ folded AS (SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_
 """
 
 
-def _folded(spark, sf_dir, how=fold.fold) -> DataFrame:
-    return how(logs.events_log(spark, sf_dir), "user_id", F.col("event_id"), gone(), COLS).drop("last")
+def _folded(spark, sf_dir) -> DataFrame:
+    return fold.fold(logs.events_log(spark, sf_dir), "user_id", F.col("event_id"), gone(), COLS).drop("last")
 
 
 @query(_FOLD_SQL + "SELECT * FROM folded")
@@ -62,15 +66,16 @@ def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir)
 
 
-@query(_FOLD_SQL + "SELECT * FROM folded")
+@query(_FOLD_SQL.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)") + "SELECT * FROM folded")
 def fold_events_hot_keys(spark, sf_dir):
-    return _folded(spark, sf_dir, fold.fold_hot)
+    """The fold where one key holds a third of the log."""
+    hot = logs.events_log(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")))
+    return fold.fold(hot, "user_id", F.col("event_id"), gone(), COLS).drop("last")
 
 
 @query(_FOLD_SQL + "SELECT user_id, event_id, pos, row_number() OVER (ORDER BY pos) AS ordinal FROM folded")
 def fold_insertion_order(spark, sf_dir):
-    # live records are far fewer than versions; the ordinal is the feature
-    return _folded(spark, sf_dir).select("user_id", "event_id", "pos", F.row_number().over(Window.orderBy("pos")).cast("long").alias("ordinal"))
+    return fold.numbered(_folded(spark, sf_dir).select("user_id", "event_id", "pos"), "pos")
 
 
 @query(
@@ -195,10 +200,10 @@ def _versions(spark, sf_dir) -> DataFrame:
     return _lines(spark, sf_dir).select("key", "seq", "tombstone", "readable", "reason")
 
 
-def _line_fold(spark, sf_dir, valid_only: bool, how=fold.fold) -> DataFrame:
-    rows = _versions(spark, sf_dir).where("readable")
+def _line_fold(spark, sf_dir, valid_only: bool) -> DataFrame:
+    rows = scratch.settle(_versions(spark, sf_dir).where("readable"), "versions")
     valid = F.col("reason").isNull() if valid_only else None
-    return how(rows, "key", F.col("seq"), F.col("tombstone"), ["seq"], valid).select("key", "seq", "pos")
+    return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["seq"], valid).select("key", "seq", "pos")
 
 
 @query(_LIVE + "SELECT key, seq, pos FROM folded")
@@ -230,12 +235,16 @@ BLOCK = 4096
 
 
 def _offsets(spark, sf_dir) -> DataFrame:
-    """Running sums by blocks of lines, and then over the blocks: no window meets all lines."""
+    """Running sums by blocks of lines, groups of blocks, and the groups: no window meets all lines."""
     rows = logs.event_lines(spark, sf_dir).withColumn("b", F.expr(f"seq div {BLOCK}")).withColumn("n", F.octet_length("raw").cast("long") + 1)
     w = Window.partitionBy("b").orderBy("seq")
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("b").agg(F.sum("n").alias("bytes"), F.count("*").alias("rows"))
-    blocks = blocks.select("b", F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("b0"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("l0"))
+    blocks = rows.groupBy("b").agg(F.sum("n").alias("bytes"), F.count("*").alias("rows")).withColumn("c", F.expr(f"b div {BLOCK}"))
+    # blocks within a group of BLOCK blocks, and then the groups: one row for each 16 million lines
+    within, over = Window.partitionBy("c").orderBy("b"), Window.orderBy("c")
+    groups = blocks.groupBy("c").agg(F.sum("bytes").alias("cb"), F.sum("rows").alias("cr"))
+    groups = groups.select("c", (F.sum("cb").over(over) - F.col("cb")).alias("gb"), (F.sum("cr").over(over) - F.col("cr")).alias("gr"))
+    blocks = blocks.withColumn("b0", F.sum("bytes").over(within) - F.col("bytes")).withColumn("l0", F.sum("rows").over(within) - F.col("rows"))
+    blocks = blocks.join(groups, "c").select("b", (F.col("b0") + F.col("gb")).alias("b0"), (F.col("l0") + F.col("gr")).alias("l0"))
     rows = rows.withColumn("at", F.sum("n").over(w) - F.col("n")).withColumn("k", F.row_number().over(w)).join(blocks, "b")
     return rows.select("seq", "raw", (F.col("b0") + F.col("at")).alias("byte_offset"), (F.col("l0") + F.col("k")).cast("long").alias("line"))
 
@@ -528,6 +537,7 @@ def delete_classify(spark, sf_dir):
 def compact_result(spark, sf_dir):
     """What compaction writes: canonical records with their defaults, in order of pos."""
     rows = _lines(spark, sf_dir, record=True).where("readable").select("key", "seq", "tombstone", "reason", "record")
+    rows = scratch.settle(rows, "compact")
     return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["record"], F.col("reason").isNull()).select("key", "pos", "record")
 
 
@@ -563,7 +573,7 @@ def segment_manifest_by_day(spark, sf_dir):
     return e.groupBy(F.date_format(F.date_trunc("day", "ts"), "yyyyMMdd'T'HHmmss'Z'").alias("stamp")).agg(F.count("*").alias("records"), F.sum(F.octet_length("props") + 1).cast("long").alias("bytes"))
 
 
-_SIZES = ["0", "512", "512b", "1k", "2KB", "50MB", "1.5m", "2GB", " 50 MB ", "", "MB", "50TB", "-1", "abc", "50 MB extra"]
+_SIZES = ["7", "0", "300 b", "3K", "20 kb", "0.25MB", "1.75g", "8 Gb", "  12 m  ", "", " ", "kb", "9PB", "+4", "ten", "5 k b", ".5m", "4.", "1e3"]
 
 
 @query(
@@ -579,7 +589,7 @@ def roll_threshold(spark, sf_dir):
 # ---- cells --------------------------------------------------------------------------------
 
 _ESC = "replace(replace(replace(replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
-_QUOTED = r"""({x} = '' OR {x} IN ('true', 'false', 'null') OR regexp_matches({x}, '^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z') OR regexp_matches({x}, '[:"\\\[\]{{}},\x00-\x1F]|^[ \t]|[ \t]\z|^[-#]'))"""
+_QUOTED = r"""({x} = '' OR {x} IN ('true', 'false', 'null') OR regexp_matches({x}, '^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\z') OR regexp_matches({x}, '[:"\\\[\]{{}},\x00-\x1F]|^[ \t]|[ \t]\z|^[-#]'))"""
 
 
 @query(f"SELECT doc_id, {_ESC.format(x='text')} AS cell FROM documents")
@@ -599,6 +609,30 @@ def toon_number(spark, sf_dir):
     )
 
 
+#: A cell by event_id n, and how it must be written: bare or quoted.
+_CELLS = [
+    ("'+' || n", "quoted"), ("'-' || n || 'e5'", "quoted"), ("n || '.'", "bare"), ("'a-' || n", "bare"), ("''", "quoted"), ("' x' || n", "quoted"), ("'k' || n || ': v'", "quoted"),
+    ("'null'", "quoted"), ("'# ' || n", "quoted"), ("'plain ' || n", "bare"), ("n || '.5E+' || n", "quoted"), ("'x' || n || ' '", "quoted"), ("'[' || n", "quoted"), ("'e' || n", "bare"), ("'1-' || n", "bare"),
+]
+_GIVEN = "CASE n % {k} {w} END".format(k=len(_CELLS), w=" ".join(f"WHEN {k} THEN {x}" for k, (x, _) in enumerate(_CELLS)))
+_BARE = ", ".join(str(k) for k, (_, how) in enumerate(_CELLS) if how == "bare")
+
+
+@query(f"SELECT n, CASE WHEN n % {len(_CELLS)} IN ({_BARE}) THEN x ELSE '\"' || x || '\"' END AS cell FROM (SELECT n, {_GIVEN} AS x FROM (SELECT event_id AS n FROM events))")
+def toon_cells(spark, sf_dir):
+    given = logs.events_log(spark, sf_dir).select(F.col("event_id").alias("n")).withColumn("x", F.expr(_GIVEN))
+    return given.select("n", text.cell(F.col("x")).alias("cell"))
+
+
+@query(
+    """SELECT n, CASE WHEN x = round(x) AND abs(x) < 1e16 THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS cell
+FROM (SELECT event_id AS n, CAST((event_id % 997 - 300) || 'e' || (event_id % 61 - 30) AS DOUBLE) AS x FROM events)"""
+)
+def toon_number_magnitudes(spark, sf_dir):
+    x = F.concat((F.col("event_id") % 997 - 300).cast("string"), F.lit("e"), (F.col("event_id") % 61 - 30).cast("string")).cast("double")
+    return logs.events_log(spark, sf_dir).select(F.col("event_id").alias("n"), text.number(x).alias("cell"))
+
+
 @query(
     f"SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN {_QUOTED.format(x='o_orderpriority')} THEN '\"' || {_ESC.format(x='o_orderpriority')} || '\"' ELSE o_orderpriority END || ',null' AS line FROM orders"
 )
@@ -622,6 +656,59 @@ def nonscalar_cell_json(spark, sf_dir):
     return logs.events_log(spark, sf_dir).select("event_id", F.to_json(F.parse_json("props")).alias("cell"))
 
 
+# ---- stores -------------------------------------------------------------------------------
+
+_NATIONS = "key: n\nfields: {n: int, name: str, region: int}\n"
+
+
+def _shared(spark, what: str) -> str:
+    path = f"{scratch.shared_dir(spark).removeprefix('file://').removeprefix('file:')}/contractlog/{what}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    scratch.drop_at_exit(spark, path)
+    return path
+
+
+def _nation_lines(spark, sf_dir) -> dict:
+    """region -> its nations as lines of JSON, by key: 25 nations at any size."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_regionkey", F.lower("r_name").alias("r")).orderBy("n_nationkey").collect()
+    out: dict = {}
+    for x in rows:
+        out.setdefault(x.r, []).append(json.dumps({"n": x.n_nationkey, "name": x.n_name, "region": x.r_regionkey}, separators=(",", ":")))
+    return out
+
+
+@query("SELECT replace(lower(r_name), ' ', '-') || '.jsonl' AS file, 'schema-' || replace(lower(r_name), ' ', '-') || '.yaml' AS contract, count(*) AS records FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def discover_stores(spark, sf_dir):
+    """A store for each region, found with its contract and the number of its live keys."""
+    folder = _shared(spark, "stores")
+    for region, lines in _nation_lines(spark, sf_dir).items():
+        stem = f"{folder}/{region.replace(' ', '-')}"
+        with open(f"{stem}.jsonl", "w") as f:
+            f.write("".join(f"{x}\n" for x in lines))
+        with open(f"{folder}/schema-{os.path.basename(stem)}.yaml", "w") as f:
+            f.write(_NATIONS)
+    found, _ = present.discover(folder, count=lambda path, contract: open_store(spark, path, contract).count())
+    return spark.createDataFrame([(x["file"], x["contract"], x["records"]) for x in found], "file string, contract string, records long")
+
+
+@query(
+    """SELECT count(*) AS records, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY n_nationkey)) AS sha256, true AS ok
+FROM (SELECT n_nationkey, '{"n":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}' AS line FROM nation)"""
+)
+def manifest_list(spark, sf_dir):
+    """A log that is sealed, listed by its archive's manifest and held against it."""
+    path = f"{_shared(spark, 'rolled')}/nations.jsonl"
+    lines = sorted((x for xs in _nation_lines(spark, sf_dir).values() for x in xs), key=lambda x: json.loads(x)["n"])
+    with open(path, "w") as f:
+        f.write("".join(f"{x}\n" for x in lines))
+    store = open_store(spark, path, parse_contract(_NATIONS))
+    store.roll()
+    ok = {x["segment"]: x["ok"] for x in store.audit()}
+    rows = [json.loads(r.record) for r in store.manifest().live().collect()]  # a row for each segment
+    return spark.createDataFrame([(r["records"], r["bytes"], r["sha256"], ok[r["segment"]]) for r in rows], "records long, bytes long, sha256 string, ok boolean")
+
+
 # ---- reports of contracts -----------------------------------------------------------------
 
 

@@ -1,35 +1,50 @@
-"""Stores: a log in a folder, a contract, and what can be done with them.
-
-A store is a folder with ``log/<version>.jsonl`` parts and ``_commits/<version>.json`` files.
-A commit names the parts it adds and those it removes; the parts in force, in order of
-version and then of place, are the log. A commit is one exclusive creation of a small file
-on the driver: of two writers that want the same version one loses and tries again on the
-newer state. Readers resolve the commits first and read just those parts, so they see one
-state whatever happens meanwhile, and parts of a write that died are never read. A plain
-``.jsonl`` file can be read as a store as well.
-
-Executors only read and write parts. Nothing is collected but what a caller asks to see.
+"""Stores: a log in a folder or in a file, a contract, and what can be done with them.
+
+A folder store (``Store``) has ``log/<version>.jsonl`` parts and ``_commits/<version>.json``
+files. A commit names the parts it adds, with their sizes, and those it removes; the parts in
+force, in order of version and then of place, are the log. A commit is one exclusive creation
+of a small file on the driver: of two writers that want the same version one loses and tries
+again on the newer state. Every CHECKPOINT commits the parts in force are listed in one file, so
+readers replay few commits. Readers resolve the commits first and read just those parts: they
+see one state whatever happens meanwhile, and parts of a write that died are never read.
+
+A plain ``.jsonl`` file is a store as well (``FileStore``, see ``open_store``): lines are
+appended under an advisory lock, a torn tail is closed first, and the file is replaced as a
+whole by compaction. What such a store writes passes through the driver as a stream of rows, as
+the file is on the driver's disk; a log that outgrows this belongs into a folder.
+
+Each write settles what it is about to do in the session's shared folder, so its lines are
+judged once, and what is reported is what was written.
 """
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import time
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contractlog.contract import SEGMENT, Contract, load_contract
+from contractlog import scratch
+from contractlog.contract import SEGMENT, SEGMENT_TEXT, Contract, load_contract
 from contractlog.functions import checks
 from contractlog.operators import changes, classify, fold, maintenance
 from contractlog.sources import lines as log_lines
 
 TRIES = 20
+#: Commits between two lists of all parts.
+CHECKPOINT = 50
+#: Bad lines that a report shows at most.
+MOST_ISSUES = 10_000
+QUARANTINE = "offset long, line long, reason string, raw string"
 
 
 class StoreError(Exception):
@@ -57,10 +72,15 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.contract = load_contract(contract) if isinstance(contract, str) else contract
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs = self._fs(self.path)
+        if self.fs.getScheme() == "file" and not self._path(self.path).isAbsolute():
+            self.path = os.path.abspath(self.path)  # the JVM has a working folder of its own
 
     # -- files --
 
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _names(self, folder: str) -> list[str]:
         at = self._path(f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
@@ -74,10 +94,11 @@ class Store:
 
     def _create(self, name: str, body: str) -> bool:
         """Whether the file was created here; false if it was there already."""
-        if self.fs.exists(self._path(name)):
+        fs, at = self._fs(name), self._path(name)
+        if fs.exists(at):
             return False
         try:
-            out = self.fs.create(self._path(name), False)
+            out = fs.create(at, False)
         except Exception as e:
             if "AlreadyExists" in str(e):
                 return False
@@ -86,39 +107,67 @@ class Store:
         out.close()
         return True
 
+    @contextmanager
+    def _locked(self):
+        """Nothing here: a commit that comes second fails and is tried again."""
+        yield
+
     def snapshot(self) -> Snapshot:
         at = self._path(self.path)
         if self.fs.exists(at) and self.fs.getFileStatus(at).isFile():
             s = self.fs.getFileStatus(at)
             return Snapshot(1, (self.path,), s.getLen(), s.getModificationTime())
-        parts: list[str] = []
-        version = 0
-        for name in self._names("_commits"):
+        names = self._names("_commits")
+        lists = [k for k, n in enumerate(names) if n.endswith(".parts.json")]
+        parts: dict[str, int] = {}
+        version = modified = 0
+        if lists:
+            body = json.loads(self._read(f"{self.path}/_commits/{names[lists[-1]]}"))
+            parts, version, modified = dict(body["parts"]), body["version"], body["at"]
+        for name in names:
+            if name.endswith(".parts.json") or int(name.split(".")[0]) <= version:
+                continue
             change = json.loads(self._read(f"{self.path}/_commits/{name}"))
             gone = set(change["remove"])
-            parts = [p for p in parts if p not in gone] + change["add"]
-            version = int(name.split(".")[0])
-        full = [f"{self.path}/log/{p}" for p in parts]
-        status = [self.fs.getFileStatus(self._path(p)) for p in full]
-        return Snapshot(version, tuple(full), sum(s.getLen() for s in status), max((s.getModificationTime() for s in status), default=0))
-
-    def _commit(self, version: int, add: list[str], remove: Iterable[str] = ()) -> bool:
-        body = json.dumps({"add": add, "remove": [os.path.basename(p) for p in remove], "at": int(time.time() * 1000)})
-        return self._create(f"{self.path}/_commits/{version:020d}.json", body)
-
-    def _write_parts(self, texts: DataFrame, column: str) -> list[str]:
-        """The rows' lines as new parts in order; rows must be sorted already. Returns their names."""
+            parts = {p: n for p, n in parts.items() if p not in gone} | dict(change["add"])
+            version, modified = int(name.split(".")[0]), change["at"]
+        return Snapshot(version, tuple(f"{self.path}/log/{p}" for p in parts), sum(parts.values()), modified)
+
+    def _commit(self, version: int, add: list[tuple[str, int]], remove: Iterable[str] = ()) -> bool:
+        now = int(time.time() * 1000)
+        body = json.dumps({"add": add, "remove": [os.path.basename(p) for p in remove], "at": now})
+        if not self._create(f"{self.path}/_commits/{version:020d}.json", body):
+            return False
+        if version % CHECKPOINT == 0:
+            at = self.snapshot()
+            if at.version == version:
+                sizes = [(os.path.basename(p), self.fs.getFileStatus(self._path(p)).getLen()) for p in at.parts]
+                self._create(f"{self.path}/_commits/{version:020d}.parts.json", json.dumps({"version": version, "parts": sizes, "at": now}))
+        return True
+
+    def _write_parts(self, texts: DataFrame, column: str) -> list[tuple[str, int]]:
+        """The rows' lines as new parts in order; rows must be sorted already. Returns their names and sizes."""
         staged = f"{self.path}/_staging/{uuid.uuid4().hex}"
         texts.select(column).write.text(staged)
-        names = []
+        made = []
         self.fs.mkdirs(self._path(f"{self.path}/log"))
         for k, s in enumerate(sorted((s for s in self.fs.listStatus(self._path(staged)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())):
             if s.getLen():
                 name = f"{uuid.uuid4().hex}-{k:06d}.jsonl"
                 self.fs.rename(s.getPath(), self._path(f"{self.path}/log/{name}"))
-                names.append(name)
+                made.append((name, s.getLen()))
         self.fs.delete(self._path(staged), True)
-        return names
+        return made
+
+    def _append(self, rows: DataFrame, at: Snapshot) -> bool:
+        """Add the rows' records (ordered) to the log as it was; whether nothing came between."""
+        made = self._write_parts(rows, "record")
+        return not made or self._commit(at.version + 1, made)
+
+    def _replace(self, rows: DataFrame | None, at: Snapshot) -> bool:
+        """Put the rows' records (ordered) in the place of the log as it was, none for an empty log."""
+        made = self._write_parts(rows, "record") if rows is not None else []
+        return self._commit(at.version + 1, made, at.parts)
 
     # -- reads --
 
@@ -128,25 +177,38 @@ class Store:
         if not at.parts:
             empty = "file string, block long, row long, raw string, size long, offset long, line long, torn boolean, seq struct<part:int,offset:long>"
             return self.spark.createDataFrame([], empty)
-        rank = F.create_map(*(x for k, p in enumerate(at.parts) for x in (F.lit(os.path.basename(p)), F.lit(k))))
         found = log_lines.positions(log_lines.scan(self.spark, *at.parts))
-        part = rank[F.element_at(F.split("file", "/"), -1)]
-        return found.withColumn("seq", F.struct(part.alias("part"), F.col("offset").alias("offset")))
-
-    def classified(self, at: Snapshot | None = None, record: bool = False) -> DataFrame:
-        return classify.classify(classify.parse(self.lines(at).drop("block", "row", "size")), self.contract, record)
+        if len(at.parts) == 1:
+            return found.withColumn("seq", F.struct(F.lit(0).alias("part"), F.col("offset").alias("offset")))
+        # names of parts, which the driver has listed already: some 60 bytes each
+        ranks = self.spark.createDataFrame([(os.path.basename(p), k) for k, p in enumerate(at.parts)], "name string, part int")
+        placed = found.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(ranks), "name")
+        return placed.withColumn("seq", F.struct("part", "offset")).drop("name", "part")
+
+    def classified(self, at: Snapshot | None = None, record: bool = False, key: str | None = None) -> DataFrame:
+        """The lines and what they are. With a key, only its lines are held against the contract, and no others are returned."""
+        return classify.classify(classify.parse(self.lines(at).drop("block", "row", "size")), self.contract, record, key)
+
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        """live() of classified rows with their records, which are settled already."""
+        rows = rows.where("readable").select("key", "seq", "tombstone", "reason", "record")
+        found = fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "record"], F.col("reason").isNull())
+        return found.select("key", "seq", "pos", "record")
 
     def live(self, at: Snapshot | None = None) -> DataFrame:
         """(key, seq, pos, record): valid records, record as canonical JSON."""
-        rows = self.classified(at, record=True).where("readable")
-        rows = rows.select("key", "seq", "tombstone", "reason", "record")
-        found = fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "record"], F.col("reason").isNull())
-        return found.select("key", "seq", "pos", "record")
+        rows = self.classified(at, record=True).where("readable").select("key", "seq", "tombstone", "readable", "reason", "record")
+        return self._live(scratch.settle(rows, "live"))
 
     def index(self, at: Snapshot | None = None) -> DataFrame:
         """(key, pos, fine): live keys by the last readable version, valid or not."""
         rows = self.classified(at).where("readable").select("key", "seq", "tombstone", F.col("reason").isNull().alias("fine"))
-        return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["fine"]).select("key", "pos", "fine")
+        return fold.fold(scratch.settle(rows, "index"), "key", F.col("seq"), F.col("tombstone"), ["fine"]).select("key", "pos", "fine")
+
+    def count(self, at: Snapshot | None = None) -> int:
+        """Live keys by the last readable version."""
+        return fold.live_keys(self.classified(at).where("readable"), "key", F.col("seq"), F.col("tombstone")).count()
 
     def records(self, at: Snapshot | None = None) -> DataFrame:
         """Live records as columns of the contract, ordered by nothing; pos orders them."""
@@ -157,34 +219,47 @@ class Store:
     def bad_lines(self, at: Snapshot | None = None) -> DataFrame:
         return classify.bad_lines(self.classified(at))
 
-    def get(self, key, by_index: bool = False) -> dict | None:
-        """The record of a key, or None. by_index: None as well where the newest version is off contract."""
-        if by_index and not self.index().where(F.col("key") == str(key)).where("fine").limit(1).collect():
+    def first_bad_lines(self, at: Snapshot | None = None, most: int = MOST_ISSUES) -> list[dict]:
+        return [r.asDict() for r in self.bad_lines(at).orderBy("offset").limit(most).collect()]
+
+    def get(self, key, by_index: bool = False, at: Snapshot | None = None) -> dict | None:
+        """The record of a key, or None. by_index: None as well where the newest version is off contract.
+
+        One aggregate over the lines of that key; the others are parsed, and no more.
+        """
+        rows = self.classified(at, record=True, key=str(key)).where("readable")
+        ends = rows.agg(
+            F.max(F.when(F.col("tombstone"), F.col("seq"))).alias("cut"),
+            F.max(F.when(~F.col("tombstone"), F.col("seq"))).alias("newest"),
+            F.max_by(F.struct("seq", "record"), F.when(~F.col("tombstone") & F.col("reason").isNull(), F.col("seq"))).alias("best"),
+        ).first()
+        if ends.best is None or (ends.cut is not None and ends.best.seq < ends.cut) or (by_index and ends.best.seq != ends.newest):
             return None
-        rows = self.live().where(F.col("key") == str(key)).limit(1).collect()
-        return json.loads(rows[0].record) if rows else None
+        return json.loads(ends.best.record)
 
     def keys(self, limit: int | None = None) -> list[str]:
-        return [r.key for r in fold.ordered(self.index(), limit).collect()]
+        return [r.key for r in fold.ordered(self.index().select("key", "pos"), limit).collect()]
 
     def page(self, limit: int = 100, fields: list[str] | None = None) -> tuple[list[dict], int, int]:
         """(first records, live keys in all, bad lines); fields in the order given."""
         wanted = [f.strip() for f in fields or [] if f.strip()]
         if unknown := [f for f in wanted if f not in self.contract.names]:
-            raise StoreError("USAGE_ERROR", f"unknown field: {', '.join(unknown)}", fields=self.contract.names)
-        at = self.snapshot()
-        rows = [json.loads(r.record) for r in fold.ordered(self.live(at), limit).collect()]
-        total = self.index(at).count()
-        return [{f: r.get(f) for f in wanted} if wanted else r for r in rows], total, self.bad_lines(at).count()
-
-    def validate(self) -> dict:
-        """{valid, bad, issues}: live records, bad lines and what is wrong with them."""
-        at = self.snapshot()
-        found = self.bad_lines(at).orderBy("offset").collect()
-        return {"valid": self.live(at).count(), "bad": len(found), "issues": [{"line": r.line, "byte": r.offset, "reason": r.reason} for r in found]}
-
-    def append_only_violations(self) -> tuple[int, int]:
-        r = maintenance.append_only_violations(self.classified().where("readable"), "key", F.col("tombstone")).first()
+            raise StoreError("USAGE_ERROR", f"unknown field: {', '.join(unknown)}", help=[f"Fields: {', '.join(self.contract.names)}"])
+        rows = scratch.settle(self.classified(self.snapshot(), record=True).select("key", "seq", "tombstone", "readable", "reason", "record"), "page")
+        shown = [json.loads(r.record) for r in fold.ordered(self._live(rows), limit).collect()]
+        total = fold.live_keys(rows.where("readable"), "key", F.col("seq"), F.col("tombstone")).count()
+        return [{f: r.get(f) for f in wanted} if wanted else r for r in shown], total, rows.where("reason is not null").count()
+
+    def validate(self, most: int = MOST_ISSUES) -> dict:
+        """{valid, bad, issues}: live records, bad lines and what is wrong with the first of them."""
+        rows = self.classified(self.snapshot()).select("key", "seq", "tombstone", "readable", "reason", "offset", "line")
+        rows = scratch.settle(rows, "validate")
+        ends = maintenance.validity(rows, "key", F.col("seq")).first()
+        found = rows.where("reason is not null").orderBy("seq").limit(most).collect()
+        return {"valid": ends.valid, "bad": ends.bad, "issues": [{"line": r.line, "byte": r.offset, "reason": r.reason} for r in found]}
+
+    def append_only_violations(self, at: Snapshot | None = None) -> tuple[int, int]:
+        r = maintenance.append_only_violations(self.classified(at).where("readable"), "key", F.col("tombstone")).first()
         return r.dups, r.tombs
 
     # -- writes --
@@ -199,7 +274,7 @@ class Store:
                 except json.JSONDecodeError as e:
                     raise StoreError("USAGE_ERROR", f"record {k + 1}: invalid json: {e.msg} at col {e.colno}") from e
             if not isinstance(r, dict):
-                raise StoreError("CONTRACT_VIOLATION", f"record {k + 1}: not an object")
+                raise StoreError("USAGE_ERROR", f"record {k + 1}: not an object")
             rows.append((k, json.dumps(r | (overrides or {}), ensure_ascii=False)))
         return self.prepared(self.spark.createDataFrame(rows, "seq long, raw string"))
 
@@ -212,93 +287,231 @@ class Store:
 
     def put(self, incoming: DataFrame) -> DataFrame:
         """Write what is new or changed of incoming(); returns (seq, key, op, issues)."""
-        for _ in range(TRIES):
-            at = self.snapshot()
-            changed = changes.upserts(incoming, self.live(at).select("key", "record"), "key", "seq", "record", "issues")
-            changed = changed.select("seq", "key", "op", "issues", "record").persist()
-            try:
-                new = changed.where("op in ('created', 'updated')").orderBy("seq")
-                names = self._write_parts(new, "record")
-                if not names or self._commit(at.version + 1, names):
-                    result = [(r.seq, r.key, r.op, r.issues) for r in changed.orderBy("seq").drop("record").toLocalIterator()]
-                    return self.spark.createDataFrame(result, "seq long, key string, op string, issues string")
-            finally:
-                changed.unpersist()
+        with self._locked():
+            for _ in range(TRIES):
+                at = self.snapshot()
+                changed = changes.upserts(incoming, self.live(at).select("key", "record"), "key", "seq", "record", "issues")
+                changed = scratch.settle(changed.select("seq", "key", "op", "issues", "record"), "put")
+                if self._append(changed.where("op in ('created', 'updated')").orderBy("seq"), at):
+                    return changed.drop("record")
         raise StoreError("IO_ERROR", "the log kept changing")
 
     def delete(self, keys: Iterable) -> list[tuple[str, str]]:
         """(key, deleted or absent) of each."""
-        for _ in range(TRIES):
-            at = self.snapshot()
-            ids = self.spark.createDataFrame([(str(k),) for k in keys], "key string")
-            done = changes.deletes(ids, self.live(at), "key").persist()
-            key = F.to_json(F.struct(F.col("key").try_cast(self.contract[self.contract.key].kind.spark).alias(self.contract.key)))
-            gone = done.where("op = 'deleted'").select(F.concat(F.substring(key, F.lit(1), F.char_length(key) - 1), F.lit(',"_deleted":true}')).alias("record"))
-            names = self._write_parts(gone.coalesce(1), "record")
-            out = [(r.key, r.op) for r in done.collect()]
-            done.unpersist()
-            if not names or self._commit(at.version + 1, names):
-                return out
+        ids = self.spark.createDataFrame([(str(k),) for k in keys], "key string")
+        with self._locked():
+            for _ in range(TRIES):
+                at = self.snapshot()
+                done = scratch.settle(changes.deletes(ids, self.live(at), "key"), "delete")
+                key = F.to_json(F.struct(F.col("key").try_cast(self.contract[self.contract.key].kind.spark).alias(self.contract.key)))
+                gone = done.where("op = 'deleted'").select(F.concat(F.substring(key, F.lit(1), F.char_length(key) - 1), F.lit(',"_deleted":true}')).alias("record"))
+                if self._append(gone.coalesce(1), at):
+                    return [(r.key, r.op) for r in done.collect()]  # as many as were asked for
         raise StoreError("IO_ERROR", "the log kept changing")
 
     def compact(self, on_bad: str = "drop") -> dict:
         """Rewrite the log as its live records in order; on_bad="error" refuses to lose bad lines."""
-        for _ in range(TRIES):
-            at = self.snapshot()
-            bad = self.bad_lines(at).count()
-            if bad and on_bad == "error":
-                raise StoreError("CONTRACT_VIOLATION", f"{bad} bad lines would be lost")
-            kept = self.live(at)
-            names = self._write_parts(kept.orderBy("pos"), "record")
-            if self._commit(at.version + 1, names, at.parts):
-                after = self.snapshot()
-                return {"kept": kept_count(self, after), "bad": bad, "reclaimed_bytes": at.size - after.size}
-        raise StoreError("IO_ERROR", "the log kept changing")
+        return self._rewritten(lambda bad, at: None, on_bad)
 
     def repair(self) -> dict:
-        """Bad lines to quarantine first, then compaction."""
-        bad = self.bad_lines().select(F.to_json(F.struct("offset", "line", "reason", "raw"), {"ignoreNullFields": "false"}).alias("j"))
-        found = bad.count()
-        if found:
-            bad.coalesce(1).write.mode("append").text(f"{self.path}/quarantine")
-        return {"kept": self.compact()["kept"], "dropped": found}
+        """Bad lines to quarantine first, then compaction of the same state."""
+        done = self._rewritten(self._quarantined, "drop")
+        return {"kept": done["kept"], "dropped": done["bad"]}
+
+    def _rewritten(self, first, on_bad: str) -> dict:
+        with self._locked():
+            for _ in range(TRIES):
+                at = self.snapshot()
+                bad_only = F.when(F.col("reason").isNotNull(), F.col("raw")).alias("raw")
+                rows = self.classified(at, record=True).select("key", "seq", "tombstone", "readable", "reason", "record", "offset", "line", bad_only)
+                rows = scratch.settle(rows, "rewrite")
+                bad = classify.bad_lines(rows)
+                found = bad.count()
+                if found and on_bad == "error":
+                    raise StoreError("CONTRACT_VIOLATION", f"{found} bad lines would be lost")
+                if found:
+                    first(bad, at)
+                kept = scratch.settle(self._live(rows), "kept")
+                if self._replace(kept.orderBy("pos"), at):
+                    return {"kept": kept.count(), "bad": found, "reclaimed_bytes": at.size - self.snapshot().size}
+        raise StoreError("IO_ERROR", "the log kept changing")
+
+    def _quarantined(self, bad: DataFrame, at: Snapshot) -> None:
+        """Written by version: a second try at the same state replaces the first."""
+        lines = bad.orderBy("offset").select(F.to_json(F.struct("offset", "line", "reason", "raw"), {"ignoreNullFields": "false"}))
+        lines.write.mode("overwrite").text(f"{self.path}/quarantine/{at.version:020d}")
 
     def quarantine(self) -> DataFrame:
-        schema = "offset long, line long, reason string, raw string"
-        return self.spark.read.schema(schema).json(f"{self.path}/quarantine") if self._names("quarantine") else self.spark.createDataFrame([], schema)
+        if not self._names("quarantine"):
+            return self.spark.createDataFrame([], QUARANTINE)
+        return self.spark.read.schema(QUARANTINE).json(f"{self.path}/quarantine/*")
+
+    # -- archives --
+
+    @property
+    def archive(self) -> str:
+        return f"{self.path}/archive"
+
+    @property
+    def stem(self) -> str:
+        return os.path.basename(self.path).removesuffix(".jsonl")
+
+    def _sealed(self, parts: Iterable[str], target: str) -> str:
+        """The parts' bytes, one after another, as a gzip file; returns their SHA-256. One stream, no text in memory."""
+        jvm = self.spark._jvm
+        digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = jvm.java.util.zip.GZIPOutputStream(self._fs(target).create(self._path(target), False))
+        try:
+            for part in parts:
+                stream = jvm.java.security.DigestInputStream(self.fs.open(self._path(part)), digest)
+                try:
+                    stream.transferTo(out)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+        return bytes(digest.digest()).hex()
 
     def roll(self, archive: str | None = None, threshold: int = 1, force: bool = False) -> dict | None:
         """Seal the log into a compressed segment of the archive and begin anew; None below the threshold.
 
         Refused unless the log is append-only (records only, each key once), but with force.
+        The segment holds the log's bytes as they are, torn tails included.
         """
-        at = self.snapshot()
-        if at.size < max(threshold, 1):
-            return None
-        dups, tombs = self.append_only_violations()
-        if (dups or tombs) and not force:
-            raise StoreError("UNSAFE_ROLL", f"the log isn't append-only: {dups} repeats, {tombs} tombstones", dups=dups, tombs=tombs)
-        archive = archive or f"{self.path}/archive"
-        name = f"{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}-{at.version:06d}.jsonl.gz"
-        ordered = self.lines(at).select("seq", "raw")
-        staged = f"{archive}/_staging-{uuid.uuid4().hex}"
-        ordered.orderBy("seq").select("raw").coalesce(1).write.option("compression", "gzip").text(staged)
-        part = next(s for s in self.fs.listStatus(self._path(staged)) if s.getPath().getName().startswith("part-"))
-        gz = part.getLen()
-        self.fs.rename(part.getPath(), self._path(f"{archive}/{name}"))
-        self.fs.delete(self._path(staged), True)
-        stats = maintenance.segment_stats(ordered, [], "seq", "raw").first()
-        if not self._commit(at.version + 1, [], at.parts):
-            self.fs.delete(self._path(f"{archive}/{name}"), False)
-            raise StoreError("IO_ERROR", "the log changed while it was sealed")
-        row = {"segment": name, "records": stats.records, "bytes": stats.bytes, "gz_bytes": gz, "sha256": stats.sha256, "rolled_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-        manifest = Store(self.spark, f"{archive}/manifest", SEGMENT)
-        manifest.put(manifest.incoming([row]))
+        archive = (archive or self.archive).rstrip("/")
+        with self._locked():
+            at = self.snapshot()
+            if at.size < max(threshold, 1):
+                return None
+            dups, tombs = (0, 0) if force else self.append_only_violations(at)
+            if dups or tombs:
+                raise StoreError(
+                    "UNSAFE_ROLL", f"{self.path} isn't append-only: {dups} repeated keys and {tombs} tombstones", updated_keys=dups, tombstones=tombs,
+                    help=["A segment isn't folded again: what it holds can't be read by key any more", f"Run `contractlog compact -f {self.path}` first, or roll with --force"],
+                )
+            fs = self._fs(archive)
+            stamp = time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
+            names = (f"{self.stem}-{stamp}{f'-{k}' if k else ''}.jsonl.gz" for k in range(1000))
+            try:
+                fs.mkdirs(self._path(archive))
+                name = next(n for n in names if not fs.exists(self._path(f"{archive}/{n}")))
+                sha256 = self._sealed(at.parts, f"{archive}/{name}")
+            except Py4JError as e:
+                raise StoreError("IO_ERROR", f"cannot archive into {archive}: {str(e).splitlines()[0]}") from e
+            records = self.lines(at).where(F.trim(F.regexp_replace("raw", classify.BLANKS, "")) != "").count()
+            row = {
+                "segment": name, "records": records, "bytes": at.size, "gz_bytes": fs.getFileStatus(self._path(f"{archive}/{name}")).getLen(),
+                "sha256": sha256, "rolled_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
+            }
+            manifest = self.manifest(archive)
+            manifest.put(manifest.incoming([row]))
+            self._create(f"{archive}/schema-manifest.yaml", SEGMENT_TEXT)
+            if not self._replace(None, at):
+                manifest.delete([name])
+                fs.delete(self._path(f"{archive}/{name}"), False)
+                raise StoreError("IO_ERROR", "the log changed while it was sealed")
         return row
 
     def manifest(self, archive: str | None = None) -> "Store":
-        return Store(self.spark, f"{archive or f'{self.path}/archive'}/manifest", SEGMENT)
+        """The store of an archive's segments; its contract lies beside it."""
+        return open_store(self.spark, f"{archive or self.archive}/manifest.jsonl", SEGMENT)
+
+    def audit(self, archive: str | None = None) -> list[dict]:
+        """Segments of the manifest with ok: whether their bytes and digest are what it says. One stream a segment."""
+        archive = (archive or self.archive).rstrip("/")
+        jvm, out = self.spark._jvm, []
+        for row in self.manifest(archive).live().orderBy("pos").toLocalIterator():
+            told = json.loads(row.record)
+            digest, stream, ok = jvm.java.security.MessageDigest.getInstance("SHA-256"), None, False
+            try:  # a segment that is missing or can't be read isn't what the manifest says
+                raw = self._fs(archive).open(self._path(f"{archive}/{told['segment']}"))
+                stream = jvm.java.security.DigestInputStream(jvm.java.util.zip.GZIPInputStream(raw), digest)
+                size = stream.transferTo(jvm.java.io.OutputStream.nullOutputStream())
+                ok = size == told["bytes"] and bytes(digest.digest()).hex() == told["sha256"]
+            except Py4JError:
+                pass
+            finally:
+                if stream is not None:
+                    stream.close()
+            out.append({"segment": told["segment"], "ok": ok})
+        return out
 
 
-def kept_count(store: Store, at: Snapshot) -> int:
-    return store.live(at).count()
+class FileStore(Store):
+    """A log in one file on the driver's disk."""
+
+    def __init__(self, spark: SparkSession, path: str, contract: Contract | str):
+        super().__init__(spark, path, contract)
+        self.local = self._path(self.path).toUri().getPath()
+
+    @contextmanager
+    def _locked(self):
+        with open(f"{self.local}.lock", "a") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
+
+    def snapshot(self) -> Snapshot:
+        if not os.path.exists(self.local):
+            return Snapshot(0, (), 0, 0)
+        s = os.stat(self.local)
+        return Snapshot(0, (self.path,) if s.st_size else (), s.st_size, int(s.st_mtime * 1000))
+
+    @staticmethod
+    def _stream(rows: DataFrame, f) -> None:
+        for r in rows.toLocalIterator():
+            f.write(r.record.encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+    def _append(self, rows: DataFrame, at: Snapshot) -> bool:
+        with open(self.local, "ab+") as f:
+            if f.seek(0, os.SEEK_END):
+                f.seek(-1, os.SEEK_END)
+                if f.read(1) != b"\n":  # a torn tail would swallow the next line
+                    f.write(b"\n")
+            self._stream(rows, f)
+        return True
+
+    def _replace(self, rows: DataFrame | None, at: Snapshot) -> bool:
+        new = f"{self.local}.{uuid.uuid4().hex}.new"
+        try:
+            with open(new, "wb") as f:
+                if rows is not None:
+                    self._stream(rows, f)
+            os.replace(new, self.local)
+        finally:
+            if os.path.exists(new):
+                os.unlink(new)
+        folder = os.open(os.path.dirname(os.path.abspath(self.local)), os.O_RDONLY)
+        try:
+            os.fsync(folder)
+        finally:
+            os.close(folder)
+        return True
+
+    @property
+    def quarantine_path(self) -> str:
+        return f"{self.local}.quarantine"
+
+    def _quarantined(self, bad: DataFrame, at: Snapshot) -> None:
+        lines = bad.orderBy("offset").select(F.to_json(F.struct("offset", "line", "reason", "raw"), {"ignoreNullFields": "false"}).alias("record"))
+        with open(self.quarantine_path, "ab") as f:
+            self._stream(lines, f)
+
+    def quarantine(self) -> DataFrame:
+        there = os.path.exists(self.quarantine_path)
+        return self.spark.read.schema(QUARANTINE).json(f"file://{os.path.abspath(self.quarantine_path)}") if there else self.spark.createDataFrame([], QUARANTINE)
+
+    @property
+    def archive(self) -> str:
+        return os.path.join(os.path.dirname(os.path.abspath(self.local)), "archive")
+
+
+def open_store(spark: SparkSession, path: str, contract: Contract | str) -> Store:
+    """The store at a path: a file if it is one or, on the driver's disk, is called .jsonl; a folder otherwise."""
+    store = Store(spark, path, contract)
+    at = store._path(store.path)
+    local = store.fs.getScheme() == "file"
+    is_file = store.fs.exists(at) and store.fs.getFileStatus(at).isFile()
+    named = path.endswith(".jsonl") and not store.fs.exists(at)
+    return FileStore(spark, path, contract) if local and (is_file or named) else store
