@@ -15,6 +15,11 @@ back into bytes with the reversed table: a character split over tokens is whole
 The rank file is read once, on the driver, and broadcast (some 1 MB, whatever the corpus); texts are
 cut by the vocabulary's own pattern before anything is merged.
 
+Before that, texts are cut where no match can span: at a blank between two characters that are
+no white space, which always begins a match of its own. A slice's distinct pieces are encoded
+once each (those that can follow each other as one text), and each text's ids are put together
+from those of its pieces.
+
 A null text is an empty text, with no ids; an empty table gives an empty result; null ids decode to nothing. Texts are never cut:
 a batch is handled in slices of about SLICE_BYTES bytes, but always by whole texts.
 Ids outside the vocabulary raise. Columns of the input named like a result are replaced.
@@ -25,6 +30,7 @@ from __future__ import annotations
 import base64
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,8 @@ from pyspark.sql import types as T
 
 from contractlog.llm.common import small_batches
 
-#: Text that is encoded at once (encodings take far more memory than texts), and rows that are decoded at once.
-SLICE_BYTES, DECODE_ROWS = 1 << 19, 512
+#: Text whose pieces are told apart at once, text and pieces that are encoded at once (encodings take far more memory than texts), rows that are decoded at once.
+SLICE_BYTES, CODED_BYTES, PIECES, DECODE_ROWS = 1 << 20, 1 << 17, 1 << 10, 512
 
 
 def default_ranks() -> str:
@@ -127,26 +133,96 @@ def token_bytes(body: bytes) -> pa.Array:
 
 
 def _slices(batch: pa.RecordBatch, col: str):
-    """Parts of a batch, by whole rows, with about SLICE_BYTES of text each."""
+    """Parts of a batch, by whole rows, with about SLICE_BYTES of text each, and their texts."""
     at = batch.schema.get_field_index(col)
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         end = min(batch.num_rows, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES)) + 1)
         part = batch.slice(start, end - start)
-        yield part, ["" if t is None else t for t in part.column(at).to_pylist()]
+        yield part, pc.fill_null(part.column(at), "").take(pa.array(np.arange(end - start)))  # a copy from 0 on
         start = end
 
 
-def character_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end character of each token, from the tokens' lengths in bytes.
+def _plain(code: np.ndarray) -> np.ndarray:
+    """Bytes that are a character of their own and no white space."""
+    return (code > 0x20) & (code < 0x7F)
+
+
+def _begins(code: np.ndarray) -> np.ndarray:
+    """Bytes that begin a character that is surely no white space."""
+    return _plain(code) | ((code >= 0xC3) & (code != 0xE1) & (code != 0xE2) & (code != 0xE3))
 
-    A byte belongs to the character that its last leading byte began, so a token with a part
-    of a character has the whole character's span.
+
+def _pieces(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin and end, in bytes: at the texts' own bounds and at blanks that begin a match.
+
+    What follows the blank is a plain character or the first byte of one beyond U+00BF; first
+    bytes that white space has as well (of U+1680, U+2000 and on, U+3000) are left alone.
+    """
+    cuts = np.flatnonzero((code[1:-1] == 0x20) & _plain(code[:-2]) & _begins(code[2:])) + 1
+    return np.unique(np.concatenate([offsets, cuts]))
+
+
+def _encoded(model, texts: pa.Array, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after another; ids before each text)"""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1]
+    data = texts.buffers()[2]
+    if not offsets[-1]:
+        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    bounds = _pieces(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets)
+    pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), data).dictionary_encode()
+    found = _lists(model, pieces.dictionary, length).take(pieces.indices)
+    before = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(found)))])
+    return np.asarray(found.flatten()), before[np.searchsorted(bounds, offsets)]
+
+
+def _joinable(each: pa.Array) -> np.ndarray:
+    """Whether pieces can follow each other in one text: they begin at a blank that begins a match, and end plainly."""
+    bounds = np.frombuffer(each.buffers()[1], np.int32)[: len(each) + 1]
+    code = np.append(np.frombuffer(each.buffers()[2], np.uint8), [0, 0]).astype(np.uint8)
+    first, last = bounds[:-1], bounds[1:] - 1
+    return (np.diff(bounds) > 1) & (code[first] == 0x20) & _begins(code[first + 1]) & _plain(code[np.maximum(0, last)])
+
+
+def _lists(model, each: pa.Array, length: np.ndarray) -> pa.ListArray:
+    """The ids of each piece."""
+    joined = _joinable(each)
+    row, at = each.filter(pa.array(joined)), 0
+    ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    bounds, data = np.frombuffer(row.buffers()[1], np.int32)[: len(row) + 1] if len(row) else np.zeros(1, np.int32), row.buffers()[2]
+    while at < len(row):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CODED_BYTES, "right")) - 1)
+        made = np.array(model.encode_batch_fast([data[int(bounds[at]) : int(bounds[end])].to_pybytes().decode()], add_special_tokens=False)[0].ids, np.int32)
+        ends = bounds[at] + np.cumsum(length[made])
+        upto = np.searchsorted(ends, bounds[at + 1 : end + 1])
+        if (ends[upto] != bounds[at + 1 : end + 1]).any():
+            raise RuntimeError("a match spans two pieces")
+        ids.append(made)
+        sizes.append(np.diff(np.concatenate([[-1], upto])))
+        at = end
+    rest = each.filter(pa.array(~joined))
+    for k in range(0, len(rest), PIECES):
+        made = [e.ids for e in model.encode_batch_fast(rest.slice(k, PIECES).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, made), np.int64))
+        ids.append(np.fromiter(chain.from_iterable(made), np.int32))
+    place = np.empty(len(each), np.int64)
+    place[joined], place[~joined] = np.arange(len(row)), len(row) + np.arange(len(rest))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))).take(pa.array(place))
+
+
+def character_spans(code: np.ndarray, offsets: np.ndarray, before: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character of each token within its text, from the tokens' lengths in bytes.
+
+    code, offsets: the texts' bytes and bounds; before: tokens before each text. A byte belongs
+    to the character that its last leading byte began, so a token with a part of a character has
+    the whole character's span.
     """
     ends = np.cumsum(lengths)
-    of = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1
-    return of[ends - lengths].astype(np.int32), (of[ends - 1] + 1).astype(np.int32)
+    of = np.cumsum((code & 0xC0) != 0x80) - 1
+    first = np.repeat(of[np.minimum(offsets[:-1], len(code) - 1)], np.diff(before)) if len(code) else np.empty(0, np.int64)
+    return (of[ends - lengths] - first).astype(np.int32), (of[ends - 1] + 1 - first).astype(np.int32)
 
 
 def _joined(batch: pa.RecordBatch, drop: set[str], **cols: pa.Array) -> pa.RecordBatch:
@@ -164,13 +240,15 @@ def _encoder(ranks, pattern: str, text_col: str, offsets: bool, drop: set[str]):
         length = np.asarray(pc.fill_null(pc.binary_length(token_bytes(ranks.value)), 0))
         for batch in batches:
             for part, texts in _slices(batch, text_col):
-                ids = [np.array(e.ids, np.int32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-                at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                flat = lambda parts: pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), pa.int32()))  # noqa: B023, E731
-                made = {"ids": flat(ids)}
+                ids, before = _encoded(model, texts, length)
+                at = pa.array(before, pa.int32())
+                listed = lambda values: pa.ListArray.from_arrays(at, pa.array(values, pa.int32()))  # noqa: B023, E731
+                made = {"ids": listed(ids)}
                 if offsets:
-                    spans = [character_spans(t.encode(), length[x]) for t, x in zip(texts, ids)]
-                    made |= {"starts": flat([x for x, _ in spans]), "ends": flat([x for _, x in spans])}
+                    bounds = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
+                    code = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+                    spans = character_spans(code, bounds, before, length[ids])
+                    made |= {"starts": listed(spans[0]), "ends": listed(spans[1])}
                 yield _joined(part, drop, **made)
 
     return run
