@@ -31,7 +31,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every row of documents; op4_token_rollup leaves out short texts, as its SQL does."""
+    """Token counts of every row of documents by three tokenizers; op4_token_rollup has the two that SQL can count."""
     return token_rollup.whole(table(spark, sf_dir, "documents"))
 
 

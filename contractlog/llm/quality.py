@@ -33,7 +33,7 @@ from contractlog.llm.sampling import class_shares, held_out, labelled_sample
 SAMPLE, DIMS, NEIGHBOURS, POWER = 1500, 40, 25, 8
 THRESHOLD = 0.7
 #: Texts that are compared at once with all labelled vectors.
-BLOCK = 512
+BLOCK = 256
 SLICE_BYTES = 1 << 21
 
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))

@@ -3,7 +3,6 @@
 import hashlib
 import re
 
-import pytest
 from test_dedup_and_join import brute_join
 from test_tokens_and_chat import reference_encoding
 
@@ -54,8 +53,3 @@ def test_entry_holds_all_queries():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
-
-
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
-def test_queries_stand_alone(name):
-    assert callable(catalog.queries()[name])
