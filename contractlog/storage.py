@@ -13,6 +13,11 @@ appended under an advisory lock, a torn tail is closed first, and the file is re
 whole by compaction. What such a store writes passes through the driver as a stream of rows, as
 the file is on the driver's disk; a log that outgrows this belongs into a folder.
 
+A folder store keeps an index: ``_index/<version>`` holds where each live key's newest version
+and first place are, over the parts that its list names. It holds as long as those parts begin
+the log (until a compaction), so readers of keys and of one record fold the parts that came after
+it and no others; every INDEX_AFTER parts a writer brings it up to date from itself.
+
 Each write settles what it is about to do in the session's shared folder, so its lines are
 judged once, and what is reported is what was written.
 """
@@ -38,13 +43,17 @@ from contractlog.contract import SEGMENT, SEGMENT_TEXT, Contract, load_contract
 from contractlog.functions import checks
 from contractlog.operators import changes, classify, fold, maintenance
 from contractlog.sources import lines as log_lines
+from contractlog.streaming.incremental import caught_up
 
 TRIES = 20
 #: Commits between two lists of all parts.
 CHECKPOINT = 50
+#: Parts beyond the index after which a writer refreshes it.
+INDEX_AFTER = 8
 #: Bad lines that a report shows at most.
 MOST_ISSUES = 10_000
 QUARANTINE = "offset long, line long, reason string, raw string"
+INDEX = "key string, seq struct<part:int,offset:long>, fine boolean, pos struct<part:int,offset:long>"
 
 
 class StoreError(Exception):
@@ -171,23 +180,24 @@ class Store:
 
     # -- reads --
 
-    def lines(self, at: Snapshot | None = None) -> DataFrame:
-        """positions() of the snapshot's lines, with seq: an order over all parts."""
+    def lines(self, at: Snapshot | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+        """positions() of the snapshot's lines, with seq: an order over all parts. first, last: only parts from one to another."""
         at = at or self.snapshot()
-        if not at.parts:
+        parts = at.parts[first:last]
+        if not parts:
             empty = "file string, block long, row long, raw string, size long, offset long, line long, torn boolean, seq struct<part:int,offset:long>"
             return self.spark.createDataFrame([], empty)
-        found = log_lines.positions(log_lines.scan(self.spark, *at.parts))
-        if len(at.parts) == 1:
-            return found.withColumn("seq", F.struct(F.lit(0).alias("part"), F.col("offset").alias("offset")))
+        found = log_lines.positions(log_lines.scan(self.spark, *parts))
+        if len(parts) == 1:
+            return found.withColumn("seq", F.struct(F.lit(first).alias("part"), F.col("offset").alias("offset")))
         # names of parts, which the driver has listed already: some 60 bytes each
-        ranks = self.spark.createDataFrame([(os.path.basename(p), k) for k, p in enumerate(at.parts)], "name string, part int")
+        ranks = self.spark.createDataFrame([(os.path.basename(p), k) for k, p in enumerate(parts, first)], "name string, part int")
         placed = found.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(ranks), "name")
         return placed.withColumn("seq", F.struct("part", "offset")).drop("name", "part")
 
-    def classified(self, at: Snapshot | None = None, record: bool = False, key: str | None = None) -> DataFrame:
+    def classified(self, at: Snapshot | None = None, record: bool = False, key: str | None = None, first: int = 0, last: int | None = None) -> DataFrame:
         """The lines and what they are. With a key, only its lines are held against the contract, and no others are returned."""
-        return classify.classify(classify.parse(self.lines(at).drop("block", "row", "size")), self.contract, record, key)
+        return classify.classify(classify.parse(self.lines(at, first, last).drop("block", "row", "size")), self.contract, record, key)
 
     @staticmethod
     def _live(rows: DataFrame) -> DataFrame:
@@ -202,13 +212,44 @@ class Store:
         return self._live(scratch.settle(rows, "live"))
 
     def index(self, at: Snapshot | None = None) -> DataFrame:
-        """(key, pos, fine): live keys by the last readable version, valid or not."""
-        rows = self.classified(at).where("readable").select("key", "seq", "tombstone", F.col("reason").isNull().alias("fine"))
-        return fold.fold(scratch.settle(rows, "index"), "key", F.col("seq"), F.col("tombstone"), ["fine"]).select("key", "pos", "fine")
+        """(key, seq, fine, pos): live keys, where their last readable version is, whether it is valid, and their first place."""
+        at = at or self.snapshot()
+        state, known = self._state(at)
+        rows = self.classified(at, first=known).where("readable").select("key", "seq", "tombstone", F.col("reason").isNull().alias("fine"))
+        rows = scratch.settle(rows, "index")
+        if state is None:
+            return fold.fold(rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "fine"]).drop("last")
+        return caught_up(state, rows, "key", F.col("seq"), F.col("tombstone"), ["seq", "fine"]) if known < len(at.parts) else state
+
+    def _state(self, at: Snapshot) -> tuple[DataFrame | None, int]:
+        """The newest index, if the parts that it covers begin this state's log, and how many they are."""
+        lists = [n for n in self._names("_index") if n.endswith(".json")]
+        if not lists:
+            return None, 0
+        told = json.loads(self._read(f"{self.path}/_index/{lists[-1]}"))
+        if told["parts"] != [os.path.basename(p) for p in at.parts[: len(told["parts"])]]:
+            return None, 0
+        return self.spark.read.schema(INDEX).parquet(f"{self.path}/_index/{told['rows']}"), len(told["parts"])
+
+    def refresh_index(self) -> None:
+        """Bring the index up to the log as it is; what it covered isn't read again."""
+        at = self.snapshot()
+        if self._state(at)[1] == len(at.parts):
+            return
+        rows = f"{at.version:020d}-{uuid.uuid4().hex}"
+        found = self.index(at).select("key", "seq", "fine", "pos")
+        # sorted by key, so that a reader of one key skips the rest by the row groups' bounds
+        found.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.path}/_index/{rows}")
+        self._create(f"{self.path}/_index/{at.version:020d}.json", json.dumps({"rows": rows, "parts": [os.path.basename(p) for p in at.parts]}))
+
+    def _grown(self) -> None:
+        at = self.snapshot()
+        if len(at.parts) - self._state(at)[1] >= INDEX_AFTER:
+            self.refresh_index()
 
     def count(self, at: Snapshot | None = None) -> int:
         """Live keys by the last readable version."""
-        return fold.live_keys(self.classified(at).where("readable"), "key", F.col("seq"), F.col("tombstone")).count()
+        return self.index(at).count()
 
     def records(self, at: Snapshot | None = None) -> DataFrame:
         """Live records as columns of the contract, ordered by nothing; pos orders them."""
@@ -225,17 +266,33 @@ class Store:
     def get(self, key, by_index: bool = False, at: Snapshot | None = None) -> dict | None:
         """The record of a key, or None. by_index: None as well where the newest version is off contract.
 
-        One aggregate over the lines of that key; the others are parsed, and no more.
+        With an index only the parts after it are parsed, and the one part that it names. One
+        aggregate over the lines of that key; other lines are parsed, and no more.
         """
-        rows = self.classified(at, record=True, key=str(key)).where("readable")
-        ends = rows.agg(
+        at = at or self.snapshot()
+        state, known = self._state(at)
+        cut, newest, best = self._ends(self.classified(at, record=True, key=str(key), first=known))
+        if state is not None and newest is None:
+            row = None if cut is not None else state.where(F.col("key") == str(key)).first()
+            if row is None or (by_index and not row.fine):
+                return None
+            if row.fine:
+                part = self.classified(at, record=True, key=str(key), first=row.seq.part, last=row.seq.part + 1)
+                return json.loads(part.where(F.col("seq") == F.struct(F.lit(row.seq.part).alias("part"), F.lit(row.seq.offset).cast("long").alias("offset"))).first().record)
+        if state is not None and best is None and cut is None and not by_index:  # the newest valid version is older than the index or beside it
+            cut, newest, best = self._ends(self.classified(at, record=True, key=str(key)))
+        if best is None or (cut is not None and best.seq < cut) or (by_index and best.seq != newest):
+            return None
+        return json.loads(best.record)
+
+    @staticmethod
+    def _ends(rows: DataFrame):
+        """Of one key's lines: the last tombstone, the last readable version, the last valid one."""
+        return rows.where("readable").agg(
             F.max(F.when(F.col("tombstone"), F.col("seq"))).alias("cut"),
             F.max(F.when(~F.col("tombstone"), F.col("seq"))).alias("newest"),
             F.max_by(F.struct("seq", "record"), F.when(~F.col("tombstone") & F.col("reason").isNull(), F.col("seq"))).alias("best"),
-        ).first()
-        if ends.best is None or (ends.cut is not None and ends.best.seq < ends.cut) or (by_index and ends.best.seq != ends.newest):
-            return None
-        return json.loads(ends.best.record)
+        ).first()
 
     def keys(self, limit: int | None = None) -> list[str]:
         return [r.key for r in fold.ordered(self.index().select("key", "pos"), limit).collect()]
@@ -293,6 +350,7 @@ class Store:
                 changed = changes.upserts(incoming, self.live(at).select("key", "record"), "key", "seq", "record", "issues")
                 changed = scratch.settle(changed.select("seq", "key", "op", "issues", "record"), "put")
                 if self._append(changed.where("op in ('created', 'updated')").orderBy("seq"), at):
+                    self._grown()
                     return changed.drop("record")
         raise StoreError("IO_ERROR", "the log kept changing")
 
@@ -306,6 +364,7 @@ class Store:
                 key = F.to_json(F.struct(F.col("key").try_cast(self.contract[self.contract.key].kind.spark).alias(self.contract.key)))
                 gone = done.where("op = 'deleted'").select(F.concat(F.substring(key, F.lit(1), F.char_length(key) - 1), F.lit(',"_deleted":true}')).alias("record"))
                 if self._append(gone.coalesce(1), at):
+                    self._grown()
                     return [(r.key, r.op) for r in done.collect()]  # as many as were asked for
         raise StoreError("IO_ERROR", "the log kept changing")
 
@@ -456,6 +515,15 @@ class FileStore(Store):
         s = os.stat(self.local)
         return Snapshot(0, (self.path,) if s.st_size else (), s.st_size, int(s.st_mtime * 1000))
 
+    def _state(self, at: Snapshot) -> tuple[DataFrame | None, int]:
+        return None, 0  # one file: what came after a place in it can't be read without the rest
+
+    def refresh_index(self) -> None:
+        pass
+
+    def _grown(self) -> None:
+        pass
+
     @staticmethod
     def _stream(rows: DataFrame, f) -> None:
         for r in rows.toLocalIterator():

@@ -182,6 +182,35 @@ def test_many_commits_are_listed_now_and_then(spark, tmp_path, monkeypatch):
     assert s.keys() == [f"G{10 + k}" for k in range(5)] and s.compact()["kept"] == 5 and s.snapshot().version == 6
 
 
+def test_index_of_a_folder(spark, tmp_path, monkeypatch):
+    """Reads by the index and the parts after it equal those of the whole log."""
+    monkeypatch.setattr("contractlog.storage.INDEX_AFTER", 3)
+    s, rng, live = Store(spark, str(tmp_path / "g"), CONTRACT), random.Random(8), {}
+    bad = json.dumps(gauge("G12", level=99))
+    for k in range(5):
+        if k == 3:
+            live.pop("G11", None)
+            s.delete(["G11"])
+        codes = [f"G{10 + rng.randrange(5)}" for _ in range(4)] + ["G11"] * (k < 3)
+        for c in codes:
+            live[c] = float(k)
+        s.put(s.incoming([gauge(c, level=k) for c in dict.fromkeys(codes)]))
+        if k == 1:  # an off-contract version hides the valid one from the index only
+            s._commit(s.snapshot().version + 1, s._write_parts(spark.createDataFrame([(bad,)], "value string"), "value"))
+    at = s.snapshot()
+    state, known = s._state(at)
+    assert state is not None and 0 < known <= len(at.parts)
+    whole = {r.key: (r.seq, r.pos) for r in Store._live(s.classified(at, record=True)).collect()}
+    assert {r["code"]: r["level"] for r in shown(s)} == live and [k for k, _ in sorted(whole.items(), key=lambda x: x[1][1])] == [k for k in s.keys() if k in whole]
+    for c in (*live, "G11", "G99"):
+        got = s.get(c)
+        assert (got and got["level"]) == live.get(c) and (s.get(c, by_index=True) is not None) == (c in live and s.index().where(f"key = '{c}' and fine").count() == 1)
+    s.refresh_index()
+    assert s._state(s.snapshot())[1] == len(s.snapshot().parts) and s.get("G10") == (None if "G10" not in live else WHOLE | {"level": live["G10"]})
+    s.compact()
+    assert s._state(s.snapshot())[0] is None and {r["code"]: r["level"] for r in shown(s)} == live and s.count() == len(live)
+
+
 def test_follow_hands_over_new_parts(spark, tmp_path):
     from contractlog.streaming.incremental import follow
 
