@@ -444,7 +444,7 @@ class NgramJoin:
         reps = self.scratch.write(reps, "classes")
         docs, count = self.rows(self.salt).select("id", "text"), reps.count()
         if 8 * count <= MOST_FILTER_BITS:  # beyond that the filter would let too many pass, and texts are shuffled
-            bits = filter_bits(count)
+            bits = filter_bits(4 * count)  # 32 a class while they last: what passes in vain has its set shuffled
             docs = maybe_member(docs, "id", membership(reps, "id", bits), bits).where("maybe").select("id", "text")
             sets = docs.mapInArrow(_sets(self.n), SETS).join(reps, "id", "left_semi")
         else:
@@ -456,13 +456,16 @@ class NgramJoin:
         """Prefix postings of the n-grams that stand in the prefixes of two classes or more."""
         p = self.percent
         ngrams = self.sets.select("id", "n", "s").mapInArrow(_ngrams, "h long, id long, n int")
-        often = ngrams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        often = self.scratch.write(ngrams.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
+        self.scratch.tidy()  # the shuffles of each step go before the next one's come
         shared = ngrams.join(often, "h")
         of = Window.partitionBy("id")
         ranked = shared.withColumn("nth", F.row_number().over(of.orderBy("c", "h"))).withColumn("all", F.count("*").over(of))
         ranked = ranked.where(f"100L * all >= {p}L * n").withColumn("pos", F.expr("cast(n - all + nth as int)"))
         prefix = ranked.where(f"pos <= n - ceil({p} * n / 100) + 1").select("h", "id", "n", "pos")
         prefix = self.scratch.write(prefix, "prefix")
+        self.scratch.forget("often")
+        self.scratch.tidy()
         several = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         listed = prefix.join(several, "h").join(self.sets.select("id", *BITMAP), "id")
         listed = listed.withColumn("early", F.expr(f"pos <= n - ceil({2 * p} * n / {100 + p}) + 1"))
@@ -507,12 +510,19 @@ class NgramJoin:
     def _mixed(self, lists: DataFrame, k: int) -> tuple[DataFrame, bool]:
         """The lists that still meet several components, with the largest one of each (top), and whether there are any."""
         found = self.found.select(F.col("node").alias("id"), F.col("component"))
-        now = lists.drop("comp", "top").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        now = self.scratch.write(now, f"lists-{k}")
-        by = now.groupBy("h", "comp").agg(F.count("*").alias("c"))
+        lists = lists.drop("comp", "top")
+
+        def now(rows: DataFrame) -> DataFrame:
+            return rows.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+        by = now(lists.select("h", "id")).groupBy("h", "comp").agg(F.count("*").alias("c"))
         by = by.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        self.tops = self.scratch.write(by.select("h", F.col("top.comp").alias("top")), f"tops-{k}")
-        return now.join(self.tops, "h"), not self.tops.isEmpty()
+        tops = self.scratch.write(by.select("h", F.col("top.comp").alias("top")), f"tops-{k}")
+        left = not tops.isEmpty()
+        mixed = self.scratch.write(now(lists.join(tops, "h")), f"lists-{k}")
+        self.scratch.forget(f"tops-{k}", f"lists-{k - 1}" if k else "lists")
+        self.scratch.tidy()
+        return mixed, left
 
     def _rest(self, lists: DataFrame) -> DataFrame:
         """All pairs of different components; one of each is outside its list's largest component.

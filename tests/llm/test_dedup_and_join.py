@@ -109,6 +109,32 @@ def test_every_round_reaches_the_rest(spark, monkeypatch):
     assert joined(spark, texts) == brute_join(texts)
 
 
+def test_steps_of_the_join_leave_little_on_the_disk(spark, monkeypatch):
+    """Shuffles of the counts, the prefixes and the lists are dropped in between; only lists of several components are settled again."""
+    steps, comps, write, tidy = [], {}, Scratch.write, Scratch.tidy
+
+    def writing(self, df, name, **options):
+        steps.append(name)
+        out = write(self, df, name, **options)
+        if name.startswith("lists-"):
+            comps[name] = [r.c for r in out.groupBy("h").agg(F.countDistinct("comp").alias("c")).collect()]
+        return out
+
+    monkeypatch.setattr(Scratch, "write", writing)
+    monkeypatch.setattr(Scratch, "tidy", lambda self: (steps.append("tidy"), tidy(self)))
+    rng = random.Random(6)
+    texts = []
+    passage = [f"p{k}" for k in range(30)]
+    for k in range(12):
+        base = [f"w{k}x{j}" for j in range(60)]
+        texts += near_copies(rng, base, 4, 0.01) + near_copies(rng, base[:24] + passage, 3, 0.01)
+    texts = dict(enumerate(texts))
+    assert joined(spark, texts) == brute_join(texts)
+    between = lambda a, b: steps[steps.index(a) + 1 : steps.index(b)]
+    assert between("often", "prefix") == ["tidy"] and between("prefix", "lists") == ["tidy"]
+    assert comps["lists-0"] and all(c > 1 for cs in comps.values() for c in cs)
+
+
 def test_marks_of_many_groups(spark, monkeypatch):
     """Groups of few documents, buckets of few marks and rows of few: no link is lost."""
     monkeypatch.setattr(ngram_join, "GROUP_BYTES", 2000)
